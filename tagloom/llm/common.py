@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,3 +53,18 @@ def map_columns(
 def as_bytes(df: DataFrame, text: str) -> F.Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(df[f"`{text}`"].cast("string").cast("binary"), F.lit(b""))
+
+
+def gapless(rows: DataFrame, group: str, key: Callable[[int], F.Column], order: list[str], n_bins: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: 0, 1, ... within each ``group``, in random order.
+
+    ``key(k)``: independent random longs of a row.  A group's rows fall into ``n_bins`` bins by one;
+    a rank is the size of the bins before plus the rank in the bin, so that no task orders a whole
+    group.  ``rows`` is read twice: it should be a written table.
+    """
+    binned = rows.withColumns({"__bin": F.pmod(key(1), F.lit(n_bins)).cast("int"), "__at": key(2)})
+    before = Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = binned.groupBy(group, "__bin").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = Window.partitionBy(group, "__bin").orderBy("__at", *order)
+    placed = binned.withColumn("__i", F.row_number().over(inside)).join(starts, [group, "__bin"])
+    return placed.withColumn(out, F.col("__start") + F.col("__i") - 1).drop("__bin", "__at", "__n", "__start", "__i")

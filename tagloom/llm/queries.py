@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_limit(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.packing import pack
+    from tagloom.llm.token_counts import count_tokens
+
+    return pack(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.media import feature_digest, read_back, store
 
@@ -23,6 +30,20 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("feature", feature_digest()).drop("fingerprint")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.pii import find, listed
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.simhash import hex16, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.kdtree import quantised, top_k
 
@@ -53,6 +74,20 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(kept).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.langid import identify
+
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "lang_id", "confidence", "keep")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.quality import classify
+
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_score", "keep")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.sharding import shuffle_into_shards, sized
 
@@ -62,9 +97,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_packing": op2_packing,
     "op3_media": op3_media,
+    "op4_pii": op4_pii,
+    "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 

@@ -16,7 +16,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import without
+from tagloom.llm.common import gapless, without
 from tagloom.session import cut
 
 #: Rows of a virtual partition or of a bin of a shard, about; and how many there are at least.
@@ -95,19 +95,14 @@ def shuffle_into_shards(rows: DataFrame, key: str, n_shards: int = 24, seed: int
 
     local = Window.partitionBy("__p").orderBy("__a", key, *ties)
     dealt = (
-        rows.withColumns({"__p": part, "__a": draw(2), "__b": draw(3)})
+        rows.withColumns({"__p": part, "__a": draw(2)})
         .withColumn("__i", F.row_number().over(local))
         .join(deal, "__p")
         .withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__i"))))
-        .withColumn("__bin", F.pmod(draw(4), F.lit(n_bins)).cast("int"))
         .drop("__p", "__a", "__i", "__ends")
     )
     dealt = cut(dealt)  # read twice: for the counts and for the second permutation
-    before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "__bin").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    again = Window.partitionBy("shard", "__bin").orderBy("__b", key, *ties)
-    placed = dealt.withColumn("__i", F.row_number().over(again)).join(starts, ["shard", "__bin"])
-    return placed.withColumn("slot", F.col("__start") + F.col("__i") - 1).select(*[f"`{c}`" for c in rows.columns], "shard", "slot")
+    return gapless(dealt, "shard", lambda k: draw(2 + k), [key, *ties], n_bins, "slot").select(*[f"`{c}`" for c in rows.columns], "shard", "slot")
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
