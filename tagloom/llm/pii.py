@@ -35,10 +35,10 @@ BASE = {
 MORE = [
     ("secret", r"(?:\G|(?<![A-Za-z0-9_/+-]))(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+", None),
     ("secret", r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\x20?[:=]\x20?[\"']?[^\s\"',;]{6,}+", None),
-    ("phone", r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])", None),
+    ("phone", r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9]|\.[0-9])", None),
     ("phone", r"(?<![0-9+.])0[0-9](?:[\x20.-]?[0-9]{2}){4}(?![0-9])", None),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2,3}(?:[\x20.-]?[0-9]{1,3})?(?![0-9])", None),
-    ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+\x20?(?:\[at\]|\(at\)|\x20at\x20|\x20AT\x20)\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\x20DOT\x20|\.)\x20?[A-Za-z0-9-]{{2,63}}+){{1,4}}+", "(at)|[at]| at | AT "),
+    ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+\x20?(?:\[at\]|\(at\)|\x20at\x20|\x20AT\x20)\x20?[A-Za-z0-9-]{{1,63}}+(?:(?:\x20?(?:\[dot\]|\(dot\))\x20?|\x20dot\x20|\x20DOT\x20|\.)[A-Za-z0-9-]{{2,63}}+){{1,4}}+", "(at)|[at]| at | AT "),
     ("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-"),
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", ":"),

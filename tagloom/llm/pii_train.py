@@ -83,6 +83,8 @@ def plain(r: random.Random) -> tuple[str, str]:
             lambda: (cue("item ", "order ", "model "), d(r.randint(10, 12))),
             lambda: ("", f"{word(r)} at {word(r)} {word(r)} dot"),
             lambda: ("", f"met at {word(r)}.{word(r)}"),
+            lambda: ("", f"{word(r)} at {word(r)}. {word(r).title()}"),
+            lambda: ("", ".".join(str(r.randint(100, 255)) for _ in range(4))),
             lambda: (cue("license ", "licence "), f"CC-BY-NC-SA-{d(1)}.{d(1)}"),
             lambda: (cue("of "), f"{r.randint(1000, 2030)} {r.randint(1000, 2030)} {r.randint(1000, 2030)}"),
             lambda: ("", r.choice(["token: the ", "secret: of ", "key = none "]) + word(r)),
