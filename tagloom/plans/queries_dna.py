@@ -1,2 +1,240 @@
-QUERIES = {}
-SQL = {}
+"""Queries over sequences, tags, synthetic reads, enumeration and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagloom.functions import dna as D
+from tagloom.operators import calling as C
+from tagloom.operators.decode import Decoder, Settings, as_lines, decode, length_status, statistics
+from tagloom.operators.enumerate import members
+from tagloom.operators.library import Block, BlockSet, Library, Schema, make_section
+from tagloom.plans.derive import sql_dna
+from tagloom.session import table
+
+
+def revcomp(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", D.reverse_complement(D.md5_dna(F.col("o_orderkey"), 24)).alias("rc"))
+
+
+def section_slice(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", D.section(D.md5_dna(F.col("o_orderkey"), 24), 5, 12).alias("bb"))
+
+
+def umi_has_n(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    read = F.concat(D.md5_dna(F.col("o_orderkey"), 8), F.when(F.col("o_orderkey") % 7 == 0, "N").otherwise("A"))
+    return o.select("o_orderkey", D.has_ambiguity(read).alias("ambiguous")).groupBy("ambiguous").agg(F.count("*").alias("n"))
+
+
+def quality_filter(spark, sf_dir):
+    """md5 digits as qualities: codes 48 to 57 and 97 to 102."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("q"))
+    return o.where(D.quality_ok(F.col("q"), 30.0)).select("o_orderkey", F.round(D.mean_phred(F.col("q")), 6).alias("mean_q"))
+
+
+def tag_windows(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.explode(D.windows(D.md5_dna(F.col("p_partkey"), 12), 8)).alias("window")).groupBy("p_partkey", F.length("window").alias("size")).agg(F.count("*").alias("n"), F.min("window").alias("least"))
+
+
+def read_length_status(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", length_status(F.col("n_chars"), 500, 5000).alias("status"))
+
+
+def decode_status_counts(spark, sf_dir):
+    return read_length_status(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _tags(spark, sf_dir, length=8):
+    p = table(spark, sf_dir, "part")
+    return p.select(D.md5_dna(F.col("p_partkey"), length).alias("tag"), F.col("p_partkey").alias("item"))
+
+
+def _observed(spark, sf_dir, length=8):
+    """Tags with the base at place p_partkey % length replaced by A, for all parts."""
+    tag = D.md5_dna(F.col("p_partkey"), length)
+    at = (F.col("p_partkey") % length).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring(tag, F.lit(1), at), F.lit("A"), F.substring(tag, at + 2, F.lit(length))).alias("tag"))
+
+
+def tag_exact_lookup(spark, sf_dir):
+    return C.call_tags(_observed(spark, sf_dir), C.lookup_table(_tags(spark, sf_dir), lambda t: F.array(F.struct(t.alias("tag"), F.lit(0).alias("distance"))))).select("p_partkey", "item")
+
+
+def tag_fuzzy_hamming(spark, sf_dir):
+    return C.call_tags(_observed(spark, sf_dir), C.lookup_table(_tags(spark, sf_dir))).select("p_partkey", "item", "distance")
+
+
+def tag_fuzzy_levenshtein(spark, sf_dir):
+    return C.call_tags(_observed(spark, sf_dir), C.lookup_table(_tags(spark, sf_dir), C.levenshtein_ring)).select("p_partkey", "item", "distance")
+
+
+def tag_min_levenshtein(spark, sf_dir):
+    return spark.range(1).select(F.lit(C.min_levenshtein(_tags(spark, sf_dir, 10))).cast("long").alias("least"))
+
+
+def tag_window_search(spark, sf_dir):
+    """search_all over the exact tags: the only window of the least distance, else nothing."""
+    tags = {r["tag"]: r["item"] for r in _tags(spark, sf_dir).groupBy("tag").agg(F.min("item").alias("item"), F.count("*").alias("n")).where("n = 1").collect()}
+    caller = C.make_caller(tags)
+    found = F.udf(lambda s: (h[0].item if (h := C.search_all(s, caller, 8)) not in (None, C.AMBIGUOUS) else None), "long")
+    reads = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("GG"), D.md5_dna(F.col("p_partkey"), 8), F.lit("CC")).alias("read"))
+    return reads.select("p_partkey", found("read").alias("item"))
+
+
+def fake_library(name: str, tag: str, cycles: int = 3) -> Library:
+    """A library with ten tags of six bases a cycle, two static sections and a UMI."""
+    bases = [make_section("primer", "GTAGATCTTAGATTCG"), make_section("library", tag), make_section("static1", "GTTTAGATCATGC")]
+    blocks = [make_section(f"bb{i}", "NNNNNN", o) for i, o in zip(range(1, cycles + 1), ("AG", "GC", "TC"))]
+    schema = Schema([*bases, *blocks, make_section("static2", "CCTAGATTAG"), make_section("umi", "NNNNNNNN")])
+    tags = ["ACACAC", "AGGTTA", "CATGCA", "CCGATT", "GATTAC", "GGCCAA", "TACGGT", "TGTGTG", "TTAACC", "CGTATG"]
+    sets = [BlockSet(f"{name}_{i}", [Block(f"{name}{i}x{j}") for j in range(10)], {t: Block(f"{name}{i}x{j}") for j, t in enumerate(tags)}) for i in range(1, cycles + 1)]
+    return Library(name, schema, sets)
+
+
+LIBRARIES = [fake_library("L1", "ACCTTGGCAC"), fake_library("L2", "TTGACGGATC")]
+
+
+def _reads(df, name, lib, one, two, three, turned):
+    """Reads with library L1 for even ``lib``; every seventh ``turned`` has a wrong base in a static
+    section, every eleventh is reversed."""
+    tags = F.array(*[F.lit(t) for t in LIBRARIES[0].sets[0].tags])
+    pick = lambda c: F.element_at(tags, (F.col(c) % 10 + 1).cast("int"))
+    tag = F.when(F.col(lib) % 2 == 0, LIBRARIES[0].tag).otherwise(LIBRARIES[1].tag)
+    static = F.when(F.col(turned) % 7 == 0, "GTTTAGATCATGG").otherwise("GTTTAGATCATGC")
+    read = F.concat(F.lit("GTAGATCTTAGATTCG"), tag, static, pick(one), F.lit("AG"), pick(two), F.lit("GC"), pick(three), F.lit("TC"), F.lit("CCTAGATTAG"), D.md5_dna(F.col(turned), 8))
+    return df.select(name.alias("read_name"), F.when(F.col(turned) % 11 == 0, D.reverse_complement(read)).otherwise(read).alias("sequence"))
+
+
+def synthetic_reads(spark, sf_dir):
+    """A read for each line item: library and blocks from its keys, the UMI from the order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return _reads(li, F.concat_ws(":", "l_orderkey", "l_linenumber"), "l_linenumber", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey")
+
+
+def _decoded(mode, **settings):
+    def query(spark, sf_dir):
+        decoder = Decoder(LIBRARIES, settings=Settings(demultiplexer_mode=mode, revcomp=True, **settings))
+        lines = as_lines(decode(synthetic_reads(spark, sf_dir), decoder))
+        return lines.select("read_name", "library_id", "bb_ids", "umi")
+
+    return query
+
+
+def decode_full(spark, sf_dir):
+    """Full alignment, the slow mode: a read for each supplier."""
+    reads = _reads(table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string"), "s_suppkey", "s_nationkey", "s_suppkey", "s_nationkey", "s_suppkey")
+    return as_lines(decode(reads, Decoder(LIBRARIES, settings=Settings(demultiplexer_mode="full", revcomp=True)))).select("read_name", "library_id", "bb_ids", "umi")
+
+
+def decode_statistics(spark, sf_dir):
+    decoder = Decoder(LIBRARIES, settings=Settings(revcomp=False))
+    return statistics(decode(synthetic_reads(spark, sf_dir), decoder))
+
+
+_BLOCK = "CAST(({0}) % 10 AS VARCHAR)"
+
+
+def _sql_decoded(source="lineitem", name="CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)", lib="l_linenumber", blocks=("l_partkey", "l_suppkey", "l_linenumber"), umi="l_orderkey") -> str:
+    bb = " || ',' || ".join(f"lib || '{i}x' || {_BLOCK.format(c)}" for i, c in enumerate(blocks, 1))
+    return f"WITH r AS (SELECT *, CASE WHEN {lib} % 2 = 0 THEN 'L1' ELSE 'L2' END AS lib FROM {source}) SELECT {name} AS read_name, lib AS library_id, {bb} AS bb_ids, {sql_dna(umi, 8)} AS umi FROM r"
+
+
+def enumerate_product(spark, sf_dir):
+    """Three sets: the suppliers (every tenth a null block), the nations, the regions."""
+    s = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 10 == 3, F.concat(F.lit("NULL_"), "s_suppkey")).otherwise(F.concat(F.lit("s"), "s_suppkey")).alias("bb_id"), F.lit("C").alias("smiles"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("bb_id"), F.col("n_name").alias("smiles"))
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("bb_id"), F.col("r_name").alias("smiles"))
+    return members([s, n, r], "LIB")
+
+
+def enumeration_size(spark, sf_dir):
+    real = lambda df, c: df.where(~F.contains(F.lower(F.col(c).cast("string")), F.lit("null"))).agg(F.count("*").alias("n")).first()[0]
+    s = table(spark, sf_dir, "supplier")
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return spark.range(1).select(F.lit(real(s, "s_name") * real(n, "n_name") * real(r, "r_name")).cast("long").alias("size"))
+
+
+def null_block_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("Null"), "p_partkey")).otherwise(F.col("p_name")).alias("bb_id"), F.col("p_brand").alias("subset_id"))
+    return p.where(~F.contains(F.lower("bb_id"), F.lit("null"))).groupBy("subset_id").agg(F.count("*").alias("n"))
+
+
+def subset_reference(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.concat_ws(":::", "p_type", "p_brand").alias("ref")).select("p_partkey", F.split("ref", ":::")[0].alias("set_id"), F.split("ref", ":::")[1].alias("subset_id"))
+
+
+def rf_regression(spark, sf_dir):
+    from tagloom.operators.ml import forest_regression
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+    return forest_regression(e, "vec_id", "x", "y", folds=3, trees=10)
+
+
+def rf_classifier(spark, sf_dir):
+    from tagloom.operators.ml import forest_classification
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
+    return forest_classification(e, "vec_id", "x", F.col("label") > 4, folds=3, trees=10)
+
+
+def fingerprint_bits(spark, sf_dir):
+    from tagloom.operators.ml import hashed_fingerprint
+
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.aggregate(hashed_fingerprint(F.col("p_name")), F.lit(0.0), lambda a, x: a + x).alias("bits"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        revcomp, section_slice, umi_has_n, quality_filter, tag_windows, read_length_status, decode_status_counts, tag_exact_lookup, tag_fuzzy_hamming, tag_fuzzy_levenshtein, tag_min_levenshtein, tag_window_search,
+        decode_full, decode_statistics, enumerate_product, enumeration_size, null_block_filter, subset_reference, rf_regression, rf_classifier, fingerprint_bits,
+    )
+} | {
+    "decode_reads": _decoded("single"),
+    "decode_flanking": _decoded("flanking"),
+    "decode_library": _decoded("library"),
+    "decode_cutadapt": _decoded("single", demultiplexer_algorithm="cutadapt"),
+}
+
+_P = f"p AS (SELECT p_partkey AS item, {sql_dna('p_partkey', 8)} AS tag FROM part)"
+_O = f"o AS (SELECT p_partkey, substr({sql_dna('p_partkey', 8)}, 1, CAST(p_partkey % 8 AS BIGINT)) || 'A' || substr({sql_dna('p_partkey', 8)}, CAST(p_partkey % 8 AS BIGINT) + 2) AS tag FROM part)"
+
+
+def _fuzzy(distance: str) -> str:
+    return f"""WITH {_P}, {_O}, d AS (SELECT o.p_partkey, p.item, {distance} AS distance FROM o JOIN p ON {distance} <= 1),
+m AS (SELECT p_partkey, min(distance) AS lo FROM d GROUP BY 1),
+u AS (SELECT d.p_partkey, min(item) AS item, CAST(min(distance) AS INTEGER) AS distance FROM d JOIN m ON d.p_partkey = m.p_partkey AND distance = lo GROUP BY 1 HAVING count(DISTINCT item) = 1)
+SELECT o.p_partkey, u.item, u.distance FROM o LEFT JOIN u USING (p_partkey)"""
+
+
+_STATUS = "SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'ReadTooLong' WHEN n_chars < 500 THEN 'ReadTooShort' ELSE 'OK' END AS status FROM documents"
+SQL = {
+    "revcomp": f"SELECT o_orderkey, translate(reverse({sql_dna('o_orderkey', 24)}), 'ACGT', 'TGCA') AS rc FROM orders",
+    "section_slice": f"SELECT o_orderkey, substr({sql_dna('o_orderkey', 24)}, 6, 7) AS bb FROM orders",
+    "umi_has_n": "SELECT o_orderkey % 7 = 0 AS ambiguous, count(*) AS n FROM orders GROUP BY 1",
+    "quality_filter": "WITH q AS (SELECT o_orderkey, list_avg(list_transform(string_split(md5(CAST(o_orderkey AS VARCHAR)), ''), lambda c: ascii(c) - 33)) AS m FROM orders) SELECT o_orderkey, round(m, 6) AS mean_q FROM q WHERE m >= 30",
+    "tag_windows": f"WITH w AS (SELECT p_partkey, s AS size, substr({sql_dna('p_partkey', 12)}, i, s) AS win FROM part, range(7, 10) g(s), range(1, 13) h(i) WHERE i + s <= 13) SELECT p_partkey, CAST(size AS INTEGER) AS size, count(*) AS n, min(win) AS least FROM w GROUP BY ALL",
+    "read_length_status": _STATUS,
+    "decode_status_counts": f"SELECT status, count(*) AS n FROM ({_STATUS}) GROUP BY 1",
+    "tag_exact_lookup": f"WITH {_P}, {_O}, u AS (SELECT tag, min(item) AS item FROM p GROUP BY 1 HAVING count(DISTINCT item) = 1) SELECT p_partkey, item FROM o LEFT JOIN u USING (tag)",
+    "tag_fuzzy_hamming": _fuzzy("hamming(o.tag, p.tag)"),
+    "tag_fuzzy_levenshtein": _fuzzy("levenshtein(o.tag, p.tag)"),
+    "tag_min_levenshtein": f"WITH t AS (SELECT p_partkey AS item, {sql_dna('p_partkey', 10)} AS tag FROM part) SELECT min(levenshtein(a.tag, b.tag)) AS least FROM t a JOIN t b ON a.item < b.item",
+    "tag_window_search": f"WITH {_P}, u AS (SELECT tag, min(item) AS item FROM p GROUP BY 1 HAVING count(*) = 1), w AS (SELECT p_partkey, item FROM (SELECT p_partkey, 'GG' || {sql_dna('p_partkey', 8)} || 'CC' AS r FROM part), range(1, 6) h(i), u WHERE substr(r, i, 8) = u.tag), k AS (SELECT p_partkey, min(item) AS item FROM w GROUP BY 1 HAVING count(*) = 1) SELECT part.p_partkey, k.item FROM part LEFT JOIN k ON part.p_partkey = k.p_partkey",
+    "decode_reads": _sql_decoded(),
+    "decode_flanking": _sql_decoded(),
+    "decode_library": _sql_decoded(),
+    "decode_cutadapt": _sql_decoded(),
+    "decode_full": _sql_decoded("supplier", "CAST(s_suppkey AS VARCHAR)", "s_suppkey", ("s_nationkey", "s_suppkey", "s_nationkey"), "s_suppkey"),
+    "enumerate_product": "WITH s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS a FROM supplier WHERE s_suppkey % 10 <> 3) SELECT 'LIB-' || a || '-n' || CAST(n_nationkey AS VARCHAR) || '-r' || CAST(r_regionkey AS VARCHAR) AS DEL_ID, 'LIB' AS LIB_ID, a AS BB1_ID, 'C' AS BB1_SMILES, 'n' || CAST(n_nationkey AS VARCHAR) AS BB2_ID, n_name AS BB2_SMILES, 'r' || CAST(r_regionkey AS VARCHAR) AS BB3_ID, r_name AS BB3_SMILES FROM s, nation, region",
+    "enumeration_size": "SELECT (SELECT count(*) FROM supplier) * (SELECT count(*) FROM nation) * (SELECT count(*) FROM region) AS size",
+    "null_block_filter": "SELECT p_brand AS subset_id, count(*) AS n FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1",
+    "subset_reference": "SELECT p_partkey, p_type AS set_id, p_brand AS subset_id FROM part",
+}
