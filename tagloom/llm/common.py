@@ -42,7 +42,7 @@ def map_columns(
                 part = batch.slice(at, rows)
                 made = fn(part.columns[n_keep:])
                 cols = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(part.columns[:n_keep])]
-                cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, arrow.field(n_keep + i).type) for i, x in enumerate(made)]
+                cols += [x.cast(arrow.field(n_keep + i).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n_keep + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     renamed = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])

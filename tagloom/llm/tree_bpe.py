@@ -11,11 +11,14 @@ Decoding concatenates the tokens' bytes up a balanced tree.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +87,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.chunks = Chunks(self.encode_match, lambda found: tuple(chain.from_iterable(found)), 1 << 19)
+        self.chunks = Chunks(lambda match: array("i", self.encode_match(match)).tobytes(), b"".join, 1 << 19)
         self.chunks.chunks.most >>= 1
 
     def tree(self, piece: bytes) -> list[int]:
@@ -118,8 +121,9 @@ class Codec:
         whole = self.ranks.get(piece)
         return tuple(self.tree(piece)) if whole is None else (whole,)
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.chunks.each(text)))
+    def encode(self, text: str) -> np.ndarray:
+        """The ids as 32-bit numbers; matches and chunks are remembered as such bytes and concatenated."""
+        return np.frombuffer(b"".join(self.chunks.each(text)), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         """Runs of 4,096 tokens are the leaves; pairs of neighbours are concatenated level by level."""
@@ -144,7 +148,9 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
 
     def run(columns):
         code = codec(path)
-        return [[code.encode(t.decode("utf-8", "replace")) for t in columns[0].to_pylist()]]
+        made = [code.encode(t.decode("utf-8", "replace")) for t in columns[0].to_pylist()]
+        ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.zeros(0, np.int32)])))]
 
     sent = docs.withColumn("__bytes", as_bytes(docs, text))
     return map_columns(sent, ["__bytes"], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), run, drop=("__bytes", text), rows=128)
@@ -155,8 +161,10 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, out: s
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(columns):
-        code = codec(path)
-        return [[code.decode(x or []) for x in columns[0].to_pylist()]]
+        code, column = codec(path), columns[0]
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        ids, ends = column.flatten().to_numpy(), np.cumsum(sizes)
+        return [[code.decode(ids[b - n : b].tolist()) for n, b in zip(sizes, ends)]]
 
     return map_columns(encoded, [ids], T.StructType([T.StructField(out, T.BinaryType())]), run, drop=(ids,), rows=128)
 

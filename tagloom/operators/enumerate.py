@@ -16,6 +16,7 @@ from math import prod
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tagloom.operators.library import Library
 
@@ -159,7 +160,7 @@ def enumerate_library(spark: SparkSession, library: Library, runner: Callable[[l
 
 def run_reactions(df: DataFrame, columns: list[str], runner: Callable[[list[str]], str | None], on_failure: str = "null") -> DataFrame:
     at = [df.columns.index(c) for c in columns]
-    schema = df.schema.add("SMILES", "string")
+    schema = StructType([*df.schema.fields, StructField("SMILES", StringType())])  # add() would change the cached schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
