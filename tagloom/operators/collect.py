@@ -6,13 +6,22 @@ shrinks the first before its shuffle, and no list of raw UMIs is ever held.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tagloom.functions.dna import masked_keys
 from tagloom.session import cut
 
 COMPOUND = ["library_id", "bb_ids"]
+#: A compound with at most so many UMIs is solved in one row; more go the set-based way.
+SMALL = 1024
 
 
 def kept(decoded: DataFrame, score_threshold: float = 100.0) -> DataFrame:
@@ -57,17 +66,70 @@ def hamming_edges(umis: DataFrame, directional: bool = False) -> DataFrame:
     return pair.select(*COMPOUND, F.col("x.umi").alias("a"), F.col("y.umi").alias("b"))
 
 
-def corrected(umis: DataFrame, method: str = "directional") -> DataFrame:
+def n_components(umis: list[str], counts: list[int], directional: bool) -> int:
+    """Connected components of one compound's UMI graph, by union-find over shared masked keys."""
+    root, met, n = list(range(len(umis))), defaultdict(list), len(umis)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, u in enumerate(umis):
+        if "N" not in u:
+            for p in range(len(u)):
+                met[p, u[:p], u[p + 1 :]].append(i)
+    for group in met.values():
+        for i, j in combinations(group, 2):
+            low, high = sorted((counts[i], counts[j]))
+            if not directional or high >= 2 * low + 1:
+                i, j = find(i), find(j)
+                root[j] = i
+                n -= i != j
+    return n
+
+
+def corrected_in_rows(umis: DataFrame, directional: bool) -> DataFrame:
+    """count of each compound, from one row that holds all its UMIs: for compounds of bounded size."""
+    pairs = F.collect_list(F.when(F.col("umi").isNotNull(), F.struct("umi", "c")))
+    schema = T.StructType([*[umis.schema[c] for c in COMPOUND], T.StructField("count", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [n_components([x["umi"] for x in row], [x["c"] for x in row], directional) for row in (r.as_py() for r in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:2], arrow)), pa.array(made, pa.int64())], schema=arrow)
+
+    return umis.groupBy(*COMPOUND).agg(pairs.alias("u")).mapInArrow(solve, schema)
+
+
+def corrected(umis: DataFrame, method: str = "directional", small: int = SMALL) -> DataFrame:
     """count of each compound: connected components of its UMI graph.
 
-    Set-based, so that one compound may hold any share of the rows.  Labels fall to the least UMI of
-    the component by hooking to the least neighbour and doubling of paths; only UMIs with edges take
-    part, the others are a component each.
+    Compounds of up to ``small`` UMIs are solved row by row; only where a larger one exists is its
+    graph built and closed set-based, so that one compound may hold any share of the rows.
     """
     if method not in ("directional", "cluster"):
         raise ValueError(f"unknown UMI correction {method!r}")
+    directional = method == "directional"
+    umis = cut(umis)
+    large = umis.groupBy(*COMPOUND).agg(F.count("umi").alias("n")).where(F.col("n") > small).select(*COMPOUND)
+    if large.isEmpty():
+        return corrected_in_rows(umis, directional)
+    u, g = umis.alias("u"), cut(large).alias("g")
+    same = F.col("u.library_id").eqNullSafe(F.col("g.library_id")) & F.col("u.bb_ids").eqNullSafe(F.col("g.bb_ids"))
+    return corrected_in_rows(u.join(g, same, "left_anti"), directional).union(corrected_set_based(cut(u.join(g, same, "left_semi")), directional))
+
+
+def corrected_set_based(umis: DataFrame, directional: bool) -> DataFrame:
+    """The same for compounds of any size.
+
+    Labels fall to the least UMI of the component by hooking to the least neighbour and doubling of
+    paths; only UMIs with edges take part, the others are a component each.
+    """
     group = F.struct(*COMPOUND).alias("g")  # equal as a whole, nulls included
-    edges = hamming_edges(umis, method == "directional").select(group, "a", "b")
+    edges = hamming_edges(umis, directional).select(group, "a", "b")
     edges = cut(edges.union(edges.select("g", "b", "a")))
     nodes = cut(edges.groupBy("g", F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")))
     changed = not edges.isEmpty()

@@ -43,14 +43,15 @@ def brute_components(counts, directional):
     return len(left)
 
 
+@pytest.mark.parametrize("small", [C.SMALL, 35, 0])
 @pytest.mark.parametrize("method", ["cluster", "directional"])
-def test_components_against_brute_force(spark, method):
+def test_components_against_brute_force(spark, method, small):
     r, rows, truth = random.Random(2), [], {}
     for g in [("A", str(i)) for i in range(6)] + [("A", None), (None, "z")]:
         counts = {"".join(r.choice("ACGT") for _ in range(r.choice([4, 4, 4, 5]))): r.randint(1, 9) for _ in range(40)}
         truth[g] = brute_components(counts, method == "directional")
         rows += [(*g, u, n) for u, n in counts.items()]
-    got = {(x[0], x[1]): x["count"] for x in C.corrected(umis(spark, rows), method).collect()}
+    got = {(x[0], x[1]): x["count"] for x in C.corrected(umis(spark, rows), method, small).collect()}
     assert got == truth
 
 
