@@ -4,8 +4,6 @@ import hashlib
 import random
 import re
 
-import pytest
-
 from tagloom.llm import pii, queries
 from tagloom.llm.pii_train import luhn
 
@@ -83,19 +81,17 @@ PRIVATE = [
 CLEAN = ["version 10.4.2 came out", "see pages 210-215 and section 3", "commit of the long walk in 1999", "order no 12 of 24 items", "the token: the word"]
 
 
-@pytest.mark.parametrize("kind,text", PRIVATE)
-def test_trees_find_more(spark, kind, text):
-    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    assert kind in {s.kind for s in row.spans} and not [s for s in row.base if s.kind == kind]
-
-
-def test_trees_leave_plain_texts_alone(spark):
-    rows = pii.find(spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN)], "doc_id long, text string")).collect()
-    assert not [s for r in rows for s in r.spans]
+def test_trees_find_more_and_leave_plain_texts_alone(spark):
+    texts = [t for _, t in PRIVATE] + CLEAN
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (kind, _) in enumerate(PRIVATE):
+        assert kind in {s.kind for s in rows[i].spans} and not [s for s in rows[i].base if s.kind == kind], texts[i]
+    assert not [(texts[i], s) for i, r in rows.items() if i >= len(PRIVATE) for s in r.spans]
 
 
 def test_redaction_against_plain_version(spark, documents):
-    found = pii.find(documents).withColumn("clean", pii.redact(pii.find(documents)))
+    found = pii.find(documents)
+    found = found.withColumn("clean", pii.redact(found))
     changed = 0
     for r in found.select("text", "spans", "clean").collect():
         want, done, fused = "", 0, []
