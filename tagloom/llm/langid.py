@@ -57,7 +57,8 @@ def fit(docs: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE)
             at = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
-    known = docs.where(F.col(label).isNotNull()).where(drawn).select(F.col(label), as_bytes(docs, text))
+    known = docs.where(F.col(label).isNotNull()).where(drawn).withColumn("__spoken", spoken(F.col(text)))
+    known = known.select(F.col(label), as_bytes(known, "__spoken"))
     counts = np.full((BUCKETS, len(langs) + 1), 0.5)
     for r in known.mapInArrow(tally, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r[1], langs.index(r[0])] += r[2]
@@ -81,7 +82,8 @@ def text_posterior(docs: DataFrame, text: str, n_langs: int, table: np.ndarray)
         p = np.exp(total - total.max())
         return (p / p.sum()).tolist()
 
-    sent = docs.withColumn("__bytes", as_bytes(docs, text))
+    sent = docs.withColumn("__spoken", spoken(F.col(text)))
+    sent = sent.withColumn("__bytes", as_bytes(sent, "__spoken")).drop("__spoken")
     schema = T.StructType([T.StructField("__p", T.ArrayType(T.DoubleType()))])
     return map_columns(sent, ["__bytes"], schema, lambda c: [[one(t) for t in c[0].to_pylist()]], drop=("__bytes",))
 
@@ -92,6 +94,11 @@ def declared_in(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def spoken(text: Column) -> Column:
+    """The text without its tags where it declares a language: tags are in none."""
+    return F.when(declared_in(text).isNotNull(), F.regexp_replace(text, "<[^<>]*+>", " ")).otherwise(text)
+
+
 def suffix_of(address: Column) -> Column:
     """The last label of the address's host; null if there is no host."""
     found = F.lower(F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#:]*?\.([A-Za-z]{2,})(?:[:/?#]|$)", 1))

@@ -31,7 +31,7 @@ def test_evidence_is_fused(spark, larger):
     base = larger.select("doc_id", "text", "lang", F.concat(F.lit("site."), "lang").alias("source"), F.concat(F.lit("http://site."), "lang", F.lit("/x")).alias("url"))
     langs = [r[0] for r in larger.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]
     a, b = langs[0], langs[-1]
-    odd = [(-1, "xx", f"site.{a}", None), (-2, "xx", f"site.{b}", None), (-3, f'<html lang="{a}">xx', None, None), (-4, f"<html lang='{b}-XY'>xx", None, None), (-5, "xx", None, f"https://other.{a}:80/?q"), (-6, "xx", "unseen", f"other.{b}")]
+    odd = [(-1, "xx", f"site.{a}", f"http://site.{a}/y"), (-2, "xx", f"site.{b}", f"http://site.{b}/y"), (-3, f'<html lang="{a}">xx', None, None), (-4, f"<html lang='{b}-XY'>xx", None, None), (-5, "xx", None, f"https://other.{a}:80/?q"), (-6, "xx", "unseen", f"other.{b}")]
     more = spark.createDataFrame(odd, "doc_id long, text string, source string, url string").withColumn("lang", F.lit(None).cast("string"))
     found = langid.identify(base.unionByName(more.select(*base.columns)), address="url").where("doc_id < 0")
     assert {r.doc_id: r.lang_id for r in found.collect()} == {-1: a, -2: b, -3: a, -4: b, -5: a, -6: b}
