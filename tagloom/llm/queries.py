@@ -17,10 +17,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tagloom.llm.packing import pack
-    from tagloom.llm.token_counts import count_tokens
+    from tagloom.llm.packing import pack, with_lengths
 
-    return pack(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pack(with_lengths(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_nulls_repeats_and_nothing(spark):
     assert packing.pack(df.where("false")).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, 10, 2, 9)
+
+
+def test_lengths_are_the_counted_tokens(awkward, monkeypatch):
+    """Also for special strings, and on either side of the limit for the library."""
+    from tagloom.llm.token_counts import count_tokens
+
+    want = sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(awkward).collect())
+    for long in (packing.LONG, 20):
+        monkeypatch.setattr(packing, "LONG", long)
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in packing.with_lengths(awkward).collect()) == want
