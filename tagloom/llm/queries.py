@@ -37,9 +37,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tagloom.llm.simhash import hex16, near_duplicates
+    from tagloom.llm.simhash import SHINGLE, THRESHOLD, hex16, near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), bits=THRESHOLD, k=SHINGLE)
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -10,6 +10,9 @@ brings every linked pair together.  That is 17 anchors a half (2 for code words)
 Fingerprints are compared per anchor; an anchor gives a spanning forest of its links, never all
 pairs.  An anchor with many fingerprints is cut into chunks and every two chunks meet in a task of
 their own, so no link is lost and no group is unbounded.
+
+Near copies by the Jaccard similarity of their word shingles are found otherwise (``copy_links``): the
+shingle sets are compared exactly, for pairs that agree in one of 32 bands of 4 minima.
 """
 
 from __future__ import annotations
@@ -28,6 +31,11 @@ from tagloom.llm.common import as_bytes, map_columns
 from tagloom.session import cut
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
+#: Near copies: words of a shingle, least Jaccard similarity, bands and minima of a band.  A pair at 0.8
+#: agrees in no band with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, a closer pair with less.
+WORDS, JACCARD, BANDS, MINIMA = 5, 0.8, 32, 4
+#: Rounds of pairs with one centre of each band at most, before all pairs that are left.
+ROUNDS = 6
 #: Bytes of a text split at once; shingles whose bits are counted at once; fingerprints of a chunk, about.
 BYTES, HASHES, CHUNK = 1 << 22, 1 << 16, 2048
 
@@ -59,20 +67,20 @@ def shingle_hashes(text: bytes, k: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(carry), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     """A bit is 1 if set in over half of the hashes; no words: 0.  Signed, as Spark's long."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text):
+    for hashes in shingle_hashes(text, k):
         n += len(hashes)
         for i in range(0, len(hashes), HASHES):
             ones += np.unpackbits(hashes[i : i + HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(">i8")[0]) if n else 0
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", k: int = SHINGLE) -> DataFrame:
     """``docs`` with the long ``fp`` in place of the text; null counts as empty.  A narrow map."""
     sent = docs.withColumn("__bytes", as_bytes(docs, text))
-    return map_columns(sent, ["__bytes"], T.StructType([T.StructField(out, T.LongType())]), lambda c: [[fingerprint(t) for t in c[0].to_pylist()]], drop=("__bytes", text))
+    return map_columns(sent, ["__bytes"], T.StructType([T.StructField(out, T.LongType())]), lambda c: [[fingerprint(t, k) for t in c[0].to_pylist()]], drop=("__bytes", text))
 
 
 def anchor_flips() -> list[list[int]]:
@@ -170,21 +178,167 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_set(text: bytes, k: int = WORDS) -> np.ndarray:
+    """The distinct hashes of the k-word shingles of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, k)]))
+
+
+#: Odd multipliers: each orders the hashes anew.
+_TURNS = np.array([xxhash.xxh64_intdigest(b"turn%d" % i, SEED) | 1 for i in range(BANDS * MINIMA)], np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A long for each band, equal where all minima of the band are; an empty set has no bands."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        part = hashes[i : i + (1 << 12)]
+        least = np.minimum(least, np.array([(part * t).min() for t in _TURNS], np.uint64))
+    lines = least.astype("<u8").reshape(BANDS, MINIMA)
+    return np.array([xxhash.xxh64_intdigest(line.tobytes(), i) for i, line in enumerate(lines)], np.uint64).view(np.int64).tolist()
+
+
+def with_nodes(docs: DataFrame, k: int = WORDS, fp: bool = False) -> DataFrame:
+    """``docs`` with node (a hash of the shingle set), n (its size) and bands; ``text`` as bytes."""
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+
+    def run(columns: list[pa.Array]) -> list[list]:
+        rows: list[list] = [[] for _ in range(3 + fp)]
+        for text in columns[0]:
+            text = text.as_py()
+            found = shingle_set(text, k)
+            digest = xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED)
+            line = [int(np.uint64(digest).astype(np.int64)), len(found), bands(found), *([fingerprint(text)] if fp else [])]
+            for out, v in zip(rows, line):
+                out.append(v)
+        return rows
+
+    sent = docs.withColumn("text", as_bytes(docs, "text"))
+    return map_columns(sent, ["text"], T.StructType(fields + [T.StructField("fp", T.LongType())] * fp), run, rows=64)
+
+
+def with_shingles(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """``texts`` with the sorted hashes of the shingles as bytes in place of the text."""
+    made = T.StructType([T.StructField("shingles", T.BinaryType())])
+    return map_columns(texts, ["text"], made, lambda c: [[shingle_set(t.as_py(), k).astype("<u8").tobytes() for t in c[0]]], drop=("text",), rows=64)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more, exactly."""
+    first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
+    met = cut(pairs.join(first, "a")).join(second, "b").select("a", "b", "as", "bs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                stay.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+def _centres(left: DataFrame, turn: int) -> DataFrame:
+    """Each node of a band with one node of the band that all of its other nodes meet too."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"))
+    centre = cut(left.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.*"))
+    return left.join(centre, "band").where("root <> ar").select("a", "an", F.col("node").alias("b"), F.col("n").alias("bn"))
+
+
+def _all_pairs(left: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """All pairs of a band's nodes with different roots and sizes that do not exclude ``least``."""
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    met = (
+        left.join(counts, "band")
+        .select("band", "node", "root", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .agg(F.collect_list(F.struct("node", "root", "n")).alias("rows"))
+        .select("rows")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                node, root, n = (rows.values.field(c).to_numpy() for c in ("node", "root", "n"))
+                for i in range(len(node) - 1):
+                    fit = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9)
+                    other = node[i + 1 :][fit]
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], names=["a", "b"])
+
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def copy_links(seen: DataFrame, least: float = JACCARD, k: int = WORDS) -> DataFrame:
+    """Links (a, b) between nodes of ``seen`` (``with_nodes`` and a row number ``rid``); they connect all pairs at ``least`` or more that share a band.
+
+    A large group of near copies would give the square of its size in pairs.  So nodes meet one centre
+    of each band first, round by round, until few pairs of unconnected nodes are left; those all meet.
+    Only texts that share a band are moved, one for each node.
+    """
+    near = cut(seen.select("node", "n", F.explode("bands").alias("band")).distinct())
+    counts = near.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    near = cut(near.join(counts, "band").select("band", "node", "n"))
+    one = cut(seen.groupBy("node").agg(F.min("rid").alias("rid")).join(near.select("node").distinct(), "node", "left_semi").select("rid"))
+    sets = cut(with_shingles(seen.select("rid", "node", "text").join(one, "rid", "left_semi").select("node", "text"), k))
+    found = cut(near.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    for turn in range(ROUNDS + 1):
+        root = components(found).withColumnRenamed("node", "r")
+        left = cut(near.join(root, F.col("node") == F.col("r"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
+        of_root = left.groupBy("band", "root").agg(F.count("*").alias("k"))
+        counts = cut(of_root.groupBy("band").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("pairs > 0").select("band", "m", "pairs"))
+        m, pairs = counts.agg(F.sum("m"), F.sum("pairs")).first()
+        if not m:
+            return found
+        left = cut(left.join(counts.select("band"), "band", "left_semi"))
+        if turn:
+            sets = cut(sets.join(left.select("node").distinct(), "node", "left_semi"))
+        if turn == ROUNDS or pairs <= 4 * m:
+            return cut(found.union(similar(cut(_all_pairs(left, counts.select("band", "m"), least)), sets, least)))
+        met = _centres(left, turn).where(F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(least) - 1e-9)
+        pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = cut(found.union(similar(pairs, sets, least)))
+    return found
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int | None = None, k: int | None = None, least: float = JACCARD) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
 
+    Linked are texts whose k-word shingle sets (five words) have a Jaccard similarity of ``least`` or
+    more.  With ``bits``, instead, texts whose fingerprints (of k words, four) differ in at most that
+    many bits; ``fp`` is always the fingerprint of four words unless ``bits`` and ``k`` say otherwise.
+
     Null texts are empty; texts without words have fingerprint 0 and link like any other.  Equal
-    fingerprints are one node, so copies are never paired.  Rows without an id take part and get
-    the smallest id of their component, null if it has none.  Repeated rows stay; other columns go.
+    fingerprints or sets are one node, so copies are never paired.  Rows without an id take part and
+    get the smallest id of their component, null if it has none.  Repeated rows stay; other columns go.
     """
-    seen = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    distinct = cut(seen.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(distinct.select("fp")))
-    linked = cut(distinct.join(root, distinct["fp"] == root["node"]).select("fp", "root", "least"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if bits is None:
+        seen = cut(with_nodes(docs, k or WORDS, fp=True).withColumn("rid", F.monotonically_increasing_id()))
+        return _named(seen, copy_links(seen, least, k or WORDS)).select("doc_id", "fp", "component_id")
+    seen = cut(with_fingerprint(docs, k=k or SHINGLE).withColumn("node", F.col("fp")))
+    return _named(seen, links(seen.select("fp").distinct(), bits)).select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, k: int = WORDS, least: float = JACCARD) -> DataFrame:
+    """doc_id and component_id as ``near_duplicates`` gives them by shingle sets, without fingerprints."""
+    seen = cut(with_nodes(docs.select("doc_id", "text"), k).withColumn("rid", F.monotonically_increasing_id()))
+    return _named(seen, copy_links(seen, least, k)).select("doc_id", "component_id")
+
+
+def _named(seen: DataFrame, edges: DataFrame) -> DataFrame:
+    """``seen`` (doc_id, node, ...) with component_id."""
+    distinct = cut(seen.groupBy("node").agg(F.min("doc_id").alias("least")))
+    root = components(edges).withColumnRenamed("node", "of")
+    linked = cut(distinct.join(root, distinct["node"] == root["of"]).select("node", "root", "least"))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    linked = cut(linked.join(least, "root").select(F.col("fp").alias("fp2"), "component_id"))
-    named = cut(distinct.join(linked, distinct["fp"] == linked["fp2"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return seen.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = cut(linked.join(least, "root").select(F.col("node").alias("of"), "component_id"))
+    named = cut(distinct.join(linked, distinct["node"] == linked["of"], "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
+    return seen.drop("bands", "text").join(named, "node")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -128,3 +128,71 @@ def test_near_copies_of_long_texts_are_found(spark):
     other = ["w%d" % r.randint(0, 9999) for _ in range(3000)]
     rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other))], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def plain_sets(rows):
+    """{doc_id: the 5-word shingles}"""
+    out = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    return out
+
+
+def jaccard_components(sets, least=0.8):
+    """{doc_id: least doc_id of its group} by union-find over all pairs."""
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= least * max(len(a), len(b)):
+                both = len(a & b)
+                if both >= least * (len(a) + len(b) - both) - 1e-9:
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def edited(r, words, n):
+    words = words[:]
+    for at in r.sample(range(len(words)), n):
+        words[at] = "new%d" % r.randint(0, 10**6)
+    return words
+
+
+@pytest.mark.parametrize("chunk, rounds", [(2048, 6), (3, 0)])
+def test_near_copies_by_jaccard_against_all_pairs(spark, monkeypatch, chunk, rounds):
+    """Pairs around 0.8, most of them beyond 4 bits; chains; a large group of near copies."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    r, texts = random.Random(5), []
+    for _ in range(25):
+        words = ["w%d" % r.randint(0, 9999) for _ in range(r.choice([12, 60, 300]))]
+        texts.append(words)
+        for _ in range(4):
+            words = edited(r, words, r.randint(0, max(1, len(words) // 40)))
+            texts.append(words)
+    base = ["w%d" % r.randint(0, 9999) for _ in range(400)]
+    texts += [edited(r, base, r.randint(1, 9)) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    r.shuffle(rows)
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    want = jaccard_components(plain_sets(rows))
+    assert got == want
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    assert sum((fps[i] ^ fps[c]).bit_count() > 4 for i, c in want.items()) > 20
+
+
+def test_near_dedup_stage_against_all_pairs(spark, sf, documents):
+    """The stage keeps the least id of every group of texts at 5-word Jaccard 0.8 or more."""
+    import corpus_pipeline as C
+
+    want = jaccard_components(plain_sets([(x.doc_id, x.text) for x in documents.collect()]))
+    assert {x.doc_id for x in C.near_dedup(spark, documents, sf).collect()} == {*want.values()}
