@@ -126,7 +126,7 @@ def _decoded(mode, **settings):
 
 
 def decode_full(spark, sf_dir):
-    """Full alignment, the slow mode: a read for each supplier."""
+    """Full alignment, the slow mode: a read for each supplier; ``decode_full_reads`` takes all line items."""
     reads = _reads(table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string"), "s_suppkey", "s_nationkey", "s_suppkey", "s_nationkey", "s_suppkey")
     return as_lines(decode(reads, Decoder(LIBRARIES, settings=Settings(demultiplexer_mode="full", revcomp=True)))).select("read_name", "library_id", "bb_ids", "umi")
 
@@ -201,6 +201,7 @@ QUERIES = {
     "decode_flanking": _decoded("flanking"),
     "decode_library": _decoded("library"),
     "decode_cutadapt": _decoded("single", demultiplexer_algorithm="cutadapt"),
+    "decode_full_reads": _decoded("full"),
 }
 
 _P = f"p AS (SELECT p_partkey AS item, {sql_dna('p_partkey', 8)} AS tag FROM part)"
@@ -232,6 +233,7 @@ SQL = {
     "decode_flanking": _sql_decoded(),
     "decode_library": _sql_decoded(),
     "decode_cutadapt": _sql_decoded(),
+    "decode_full_reads": _sql_decoded(),
     "decode_full": _sql_decoded("supplier", "CAST(s_suppkey AS VARCHAR)", "s_suppkey", ("s_nationkey", "s_suppkey", "s_nationkey"), "s_suppkey"),
     "enumerate_product": "WITH s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS a FROM supplier WHERE s_suppkey % 10 <> 3) SELECT 'LIB-' || a || '-n' || CAST(n_nationkey AS VARCHAR) || '-r' || CAST(r_regionkey AS VARCHAR) AS DEL_ID, 'LIB' AS LIB_ID, a AS BB1_ID, 'C' AS BB1_SMILES, 'n' || CAST(n_nationkey AS VARCHAR) AS BB2_ID, n_name AS BB2_SMILES, 'r' || CAST(r_regionkey AS VARCHAR) AS BB3_ID, r_name AS BB3_SMILES FROM s, nation, region",
     "enumeration_size": "SELECT (SELECT count(*) FROM supplier) * (SELECT count(*) FROM nation) * (SELECT count(*) FROM region) AS size",

@@ -173,3 +173,14 @@ def test_decode_stream(spark, tmp_path):
     for _ in range(2):  # the second finds nothing new
         decode_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), Decoder(LIBRARIES), str(tmp_path / "cp"), once=True).awaitTermination()
     assert decoded_so_far(spark, str(tmp_path / "out")).count() == 20
+
+
+def test_full_alignment_decodes_every_line_item(spark, sf):
+    """Full alignment gives a read for each line item, as the other modes do."""
+    import __spark_entry__ as entry
+
+    found, other = (entry.queries()[q](spark, sf) for q in ("decode_full_reads", "decode_reads"))
+    assert entry.oracle_sql()["decode_full_reads"] == entry.oracle_sql()["decode_reads"]
+    rows = found.collect()
+    assert sorted(rows) == sorted(other.collect())
+    assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
