@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,12 +29,14 @@ def local_session(cpus: int | str = 8, name: str = "tagloom", memory: str = "12g
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local tests) a
-    temporary folder of this process takes its place.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a temporary folder of this
+    process takes its place in local mode, where executors are threads of it; elsewhere this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tagloom-")
@@ -43,14 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}"
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the table behind ``df``, a result of ``cut`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getParent().getName() == f"tagloom-{spark.sparkContext.applicationId}":
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove all tables that ``cut`` wrote for this application; no result may be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, by Spark's own readers so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["cut", "local_session", "shared_dir", "table"]
+__all__ = ["clear_cuts", "cut", "drop_cut", "local_session", "shared_dir", "table"]
