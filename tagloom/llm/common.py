@@ -60,7 +60,8 @@ def gapless(rows: DataFrame, group: str, key: Callable[[int], F.Column], order:
 
     ``key(k)``: independent random longs of a row.  A group's rows fall into ``n_bins`` bins by one;
     a rank is the size of the bins before plus the rank in the bin, so that no task orders a whole
-    group.  ``rows`` is read twice: it should be a written table.
+    group.  The keys should tell rows apart, or one bin gets all that are alike.  ``rows`` is read twice:
+    it should be a written table, or a narrow map of one.
     """
     binned = rows.withColumns({"__bin": F.pmod(key(1), F.lit(n_bins)).cast("int"), "__at": key(2)})
     before = Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)

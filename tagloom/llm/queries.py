@@ -90,7 +90,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.sharding import shuffle_into_shards, sized
 
-    placed = shuffle_into_shards(sized(table(spark, sf_dir, "documents")), "doc_id", 24, ties=("text_crc32", "size"))
+    placed = shuffle_into_shards(sized(table(spark, sf_dir, "documents")), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

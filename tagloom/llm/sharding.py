@@ -1,26 +1,28 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows sit in virtual partitions.  How many rows of each partition go to each shard is drawn first,
-from the multivariate hypergeometric law that a uniform permutation of all rows would give; then
-every partition deals its rows out in a random order by those counts, the rows are exchanged, and
-every shard is permuted again.  Only DataFrame functions touch rows; the driver sees one count per
-partition.
+The partitions are those in which the rows arrive.  Each is permuted where it is, by a sort on random
+numbers, and written once with the rows' positions.  How many rows of each partition go to each shard
+is drawn from the multivariate hypergeometric law that a uniform permutation of all rows would give;
+the permuted partition deals its rows out by those counts, the rows are exchanged, once, and every
+shard is permuted again.  Only DataFrame functions touch rows; the driver sees one count a partition.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import random
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import gapless, without
 from tagloom.session import cut
 
-#: Rows of a virtual partition or of a bin of a shard, about; and how many there are at least.
-ROWS, LEAST_PARTITIONS, LEAST_BINS = 1 << 20, 512, 32
+#: Rows of a bin of a shard, about; bins of a shard at least; numbers of the communication matrix at most.
+ROWS, LEAST_BINS, CELLS = 1 << 20, 32, 1 << 20
+#: monotonically_increasing_id: the partition, then this many bits for the position in it.
+BITS = 33
 
 
 def hypergeometric(rng: random.Random, good: int, total: int, draws: int) -> int:
@@ -70,39 +72,31 @@ def communication_matrix(rows: list[int], n_shards: int, seed: int) -> list[list
     return matrix
 
 
-def shuffle_into_shards(rows: DataFrame, key: str, n_shards: int = 24, seed: int = 42, ties: tuple[str, ...] = ()) -> DataFrame:
+def shuffle_into_shards(rows: DataFrame, n_shards: int = 24, seed: int = 42) -> DataFrame:
     """``rows`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    ``key`` identifies a row and decides its random numbers; rows with equal keys (null is a key,
-    too) follow each other by ``ties``.  All other columns are carried; those named ``shard`` or
-    ``slot`` are replaced.  An empty input gives an empty output; shards may be empty if there are
-    fewer rows than shards.  ``key`` is read twice, everything else once.
+    All columns are carried, and none is looked at: nulls, equal ids and equal rows are dealt like any
+    others, and no value is a key, so none can be hot.  Columns named ``shard`` or ``slot`` are replaced.
+    An empty input gives an empty output; shards may be empty if there are fewer rows than shards.
+
+    The communication matrix has at most CELLS numbers, so that it can be broadcast: beyond
+    CELLS / n_shards partitions neighbouring ones are read by one task.  Input in the same partitions
+    and order gives the same output.
     """
-    spark, rows = rows.sparkSession, without(rows, ["shard", "slot"])
-    draw = lambda k: F.xxhash64(F.lit(seed * 8 + k), F.col(key))
-    total = rows.count()
-    n_parts = max(LEAST_PARTITIONS, -(-total // ROWS))
-    n_bins = max(LEAST_BINS, -(-total // (n_shards * ROWS)))
-    part: Column = F.pmod(draw(1), F.lit(n_parts)).cast("int")
-    counts = dict(rows.select(part.alias("p")).groupBy("p").count().collect())
-    order = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in order], n_shards, seed)
-    cumulative = []
-    for p, line in zip(order, matrix):
-        ends = [sum(line[: s + 1]) for s in range(n_shards)]
-        cumulative.append({"__p": p, "__ends": ends})
-    deal = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(cumulative)), "array<struct<__p:int,__ends:array<bigint>>>")))
-
-    local = Window.partitionBy("__p").orderBy("__a", key, *ties)
-    dealt = (
-        rows.withColumns({"__p": part, "__a": draw(2)})
-        .withColumn("__i", F.row_number().over(local))
-        .join(deal, "__p")
-        .withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__i"))))
-        .drop("__p", "__a", "__i", "__ends")
-    )
-    dealt = cut(dealt)  # read twice: for the counts and for the second permutation
-    return gapless(dealt, "shard", lambda k: draw(2 + k), [key, *ties], n_bins, "slot").select(*[f"`{c}`" for c in rows.columns], "shard", "slot")
+    if not 0 < n_shards <= CELLS:
+        raise ValueError(f"between 1 and {CELLS} shards")
+    spark, rows = rows.sparkSession, without(rows, ["shard", "slot", "__r", "__m"])
+    permuted = rows.coalesce(CELLS // n_shards).withColumn("__r", F.rand(seed)).sortWithinPartitions("__r").drop("__r")
+    placed = cut(permuted.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", BITS).cast("int")
+    counts = sorted(placed.groupBy(part.alias("p")).count().collect())
+    matrix = communication_matrix([n for _, n in counts], n_shards, seed)
+    deal = spark.createDataFrame([(p, list(accumulate(line))) for (p, _), line in zip(counts, matrix)], "__p int, __ends array<bigint>")
+    at = F.col("__m").bitwiseAND(F.lit((1 << BITS) - 1))
+    dealt = placed.withColumn("__p", part).join(F.broadcast(deal), "__p").withColumn("shard", F.size(F.filter("__ends", lambda e: e <= at)))
+    n_bins = max(LEAST_BINS, -(-sum(n for _, n in counts) // (n_shards * ROWS)))
+    draw = lambda k: F.xxhash64(F.lit(seed * 8 + k), "__m")
+    return gapless(dealt.drop("__p", "__ends"), "shard", draw, ["__m"], n_bins, "slot").select(*[f"`{c}`" for c in rows.columns], "shard", "slot")
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import queries, sharding
 
@@ -47,7 +48,7 @@ def test_matrix_has_exact_sums():
 def test_shuffle_is_uniform(spark):
     """Over many rows, a row's neighbours in the input are no more often in its shard than chance says."""
     n = 24_000
-    placed = sharding.shuffle_into_shards(spark.range(n).withColumnRenamed("id", "doc_id"), "doc_id", 24).collect()
+    placed = sharding.shuffle_into_shards(spark.range(n).withColumnRenamed("id", "doc_id"), 24).collect()
     at = {r.doc_id: r for r in placed}
     together = sum(at[i].shard == at[i + 1].shard for i in range(n - 1))
     assert abs(together - n / 24) < 5 * math.sqrt(n / 24)
@@ -56,10 +57,25 @@ def test_shuffle_is_uniform(spark):
 
 
 def test_awkward_rows(awkward, none):
-    out = sharding.shuffle_into_shards(awkward, "doc_id", 5, ties=("text",))
+    out = sharding.shuffle_into_shards(awkward, 5)
     rows = out.collect()
     assert [c for c in out.columns if c in ("shard", "slot")] == ["shard", "slot"] and len(out.columns) == len(awkward.columns)
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in awkward.collect())
     counts = Counter(r.shard for r in rows)
     assert sorted(counts.values()) == [2, 3, 3, 3, 3] and {(r.shard, r.slot) for r in rows} == {(s, i) for s, n in counts.items() for i in range(n)}
-    assert sharding.shuffle_into_shards(none, "doc_id", 5).count() == 0
+    assert sharding.shuffle_into_shards(none, 5).count() == 0
+
+
+def test_no_key_is_hot(spark):
+    """Rows without an id, all alike, are spread over shards and bins like others."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    placed = sharding.shuffle_into_shards(rows, 7).collect()
+    counts = Counter(r.shard for r in placed)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert {(r.shard, r.slot) for r in placed} == {(s, i) for s, n in counts.items() for i in range(n)}
+
+
+def test_more_partitions_than_the_matrix_may_have(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELLS", 20)
+    placed = sharding.shuffle_into_shards(spark.range(500, numPartitions=16), 5).collect()
+    assert Counter(r.shard for r in placed) == dict.fromkeys(range(5), 100) and {r.id for r in placed} == {*range(500)}
