@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import as_bytes, map_columns
-from tagloom.session import cut
+from tagloom.session import cut, drop_cut
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Near copies: words of a shingle, least Jaccard similarity, bands and minima of a band.  A pair at 0.8
 #: agrees in no band with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, a closer pair with less.
 WORDS, JACCARD, BANDS, MINIMA = 5, 0.8, 32, 4
-#: Rounds of pairs with one centre of each band at most, before all pairs that are left.
-ROUNDS = 6
-#: Bytes of a text split at once; shingles whose bits are counted at once; fingerprints of a chunk, about.
-BYTES, HASHES, CHUNK = 1 << 22, 1 << 16, 2048
+#: Rounds of pairs with one centre of each band, before all pairs that are left.
+ROUNDS = 2
+#: Bytes of a text split at once; shingles whose bits are counted at once; fingerprints of a chunk, about;
+#: rows of its matrix compared at once; shingles of a chunk of sets, about; minima taken of so many at once.
+BYTES, HASHES, CHUNK, STRIP, SHINGLES, MINIMISED = 1 << 22, 1 << 16, 2048, 256, 1 << 19, 1 << 9
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -111,7 +112,9 @@ def forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     if n == 2:
         a, b = sorted(map(int, fps))
         return [(a, b)] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= threshold else []
-    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= threshold
+    near = np.empty((n, n), bool)
+    for i in range(0, n, STRIP):
+        near[i : i + STRIP] = np.bitwise_count((fps[i : i + STRIP, None] ^ fps[None, :]).view(np.uint64)) <= threshold
     out, todo = [], np.ones(n, bool)
     lonely = near.sum(axis=1) == 1
     todo &= ~lonely
@@ -162,19 +165,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root: the least node of its component.
 
     Every round each node hooks to its least neighbour, the hooks are shortened once, and the graph
-    is contracted.  Tables between rounds are written to the shared folder; joins run between such
-    tables, so that adaptive execution can split the keys of large components.
+    is contracted.  Tables between rounds are written to the shared folder, and removed after the next;
+    joins run between such tables, so that adaptive execution can split the keys of large components.
     """
     edges = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
-    nodes = edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
+    nodes = cut(edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():
         hook = cut(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
         up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         parent = cut(hook.join(up, "p").select("u", F.col("pp").alias("p")))
-        nodes = cut(nodes.join(parent, nodes["root"] == parent["u"], "left").select("node", F.coalesce("p", "root").alias("root")))
+        named = cut(nodes.join(parent, nodes["root"] == parent["u"], "left").select("node", F.coalesce("p", "root").alias("root")))
         left = cut(edges.join(parent, "u").select(F.col("p").alias("pu"), "v"))
         right = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = cut(left.join(right, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+        fewer = cut(left.join(right, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+        for done in (hook, parent, left, nodes, edges):
+            drop_cut(done)
+        nodes, edges = named, fewer
     return nodes
 
 
@@ -192,15 +198,19 @@ def bands(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1 << 12):
-        part = hashes[i : i + (1 << 12)]
-        least = np.minimum(least, np.array([(part * t).min() for t in _TURNS], np.uint64))
+    for i in range(0, len(hashes), MINIMISED):
+        least = np.minimum(least, (hashes[i : i + MINIMISED, None] * _TURNS).min(axis=0))
     lines = least.astype("<u8").reshape(BANDS, MINIMA)
     return np.array([xxhash.xxh64_intdigest(line.tobytes(), i) for i, line in enumerate(lines)], np.uint64).view(np.int64).tolist()
 
 
+def text_hash(docs: DataFrame, text: str = "text") -> Column:
+    """A hash of the text, null as empty: with the id it tells rows apart that are not repeated."""
+    return F.xxhash64(as_bytes(docs, text))
+
+
 def with_nodes(docs: DataFrame, k: int = WORDS, fp: bool = False) -> DataFrame:
-    """``docs`` with node (a hash of the shingle set), n (its size) and bands; ``text`` as bytes."""
+    """doc_id, text_hash, node (a hash of the shingle set), n (its size) and bands of every row."""
     fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def run(columns: list[pa.Array]) -> list[list]:
@@ -214,99 +224,132 @@ def with_nodes(docs: DataFrame, k: int = WORDS, fp: bool = False) -> DataFrame:
                 out.append(v)
         return rows
 
-    sent = docs.withColumn("text", as_bytes(docs, "text"))
-    return map_columns(sent, ["text"], T.StructType(fields + [T.StructField("fp", T.LongType())] * fp), run, rows=64)
+    sent = docs.select("doc_id", text_hash(docs).alias("text_hash"), as_bytes(docs, "text").alias("__bytes"))
+    return map_columns(sent, ["__bytes"], T.StructType(fields + [T.StructField("fp", T.LongType())] * fp), run, drop=("__bytes",), rows=64)
 
 
 def with_shingles(texts: DataFrame, k: int = WORDS) -> DataFrame:
     """``texts`` with the sorted hashes of the shingles as bytes in place of the text."""
     made = T.StructType([T.StructField("shingles", T.BinaryType())])
-    return map_columns(texts, ["text"], made, lambda c: [[shingle_set(t.as_py(), k).astype("<u8").tobytes() for t in c[0]]], drop=("text",), rows=64)
+    sent = texts.withColumn("text", as_bytes(texts, "text"))
+    return map_columns(sent, ["text"], made, lambda c: [[shingle_set(t.as_py(), k).astype("<u8").tobytes() for t in c[0]]], drop=("text",), rows=64)
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, each in order, have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def sizes_allow(a: Column, b: Column, least: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - 1e-9
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more, exactly."""
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
-    met = cut(pairs.join(first, "a")).join(second, "b").select("a", "b", "as", "bs")
+    met = pairs.join(first, "a").join(second, "b").select("a", "b", "as", "bs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stay = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                stay.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            sides = ((np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(c)) for c in (2, 3))
+            stay = [alike(x, y, least) for x, y in zip(*sides)]
             yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def _centres(left: DataFrame, turn: int) -> DataFrame:
-    """Each node of a band with one node of the band that all of its other nodes meet too."""
+def _centres(left: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of one node of each band, whose nodes have different roots, with each other node of it."""
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"))
-    centre = cut(left.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.*"))
-    return left.join(centre, "band").where("root <> ar").select("a", "an", F.col("node").alias("b"), F.col("n").alias("bn"))
+    centre = left.groupBy("band").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "c.*")
+    met = left.join(centre, "band").where("root <> ar").where(sizes_allow(F.col("an"), F.col("n"), least))
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _all_pairs(left: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """All pairs of a band's nodes with different roots and sizes that do not exclude ``least``."""
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+def _all_pairs(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between all nodes of a band with different roots, but for those that others connect.
+
+    A band is cut into chunks by the number of its nodes and of their shingles; every two meet in a
+    task, with the sets, and give the links of a spanning forest.
+    """
+    of = left.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    of = of.select("band", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / SHINGLES)).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    member = left.join(of, "band").select("band", "node", "root", "chunks", mine.alias("mine")).join(sets, "node")
     met = (
-        left.join(counts, "band")
-        .select("band", "node", "root", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        member.select("band", "node", "root", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "root", "n")).alias("rows"))
+        .agg(F.collect_list(F.struct("node", "root", "shingles")).alias("rows"))
+        .where(F.size("rows") > 1)
         .select("rows")
     )
 
+    def forest_of(rows: pa.StructScalar) -> list[tuple[int, int]]:
+        node, root = (rows.values.field(c).to_pylist() for c in ("node", "root"))
+        sets = [np.frombuffer(v.as_buffer(), "<u8") for v in rows.values.field("shingles")]
+        up, out = {r: r for r in root}, []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        by_size = sorted(range(len(node)), key=lambda i: len(sets[i]))
+        for k, i in enumerate(by_size):
+            for j in by_size[k + 1 :]:
+                if len(sets[i]) < least * len(sets[j]) - 1e-9:
+                    break
+                a, b = top(root[i]), top(root[j])
+                if a != b and alike(sets[i], sets[j], least):
+                    up[a] = b
+                    out.append((node[i], node[j]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in batch.column(0):
-                node, root, n = (rows.values.field(c).to_numpy() for c in ("node", "root", "n"))
-                for i in range(len(node) - 1):
-                    fit = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9)
-                    other = node[i + 1 :][fit]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], names=["a", "b"])
+                out = forest_of(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def copy_links(seen: DataFrame, least: float = JACCARD, k: int = WORDS) -> DataFrame:
-    """Links (a, b) between nodes of ``seen`` (``with_nodes`` and a row number ``rid``); they connect all pairs at ``least`` or more that share a band.
+def copy_links(docs: DataFrame, seen: DataFrame, least: float = JACCARD, k: int = WORDS) -> DataFrame:
+    """Links (a, b) between nodes of ``seen`` (``with_nodes`` of ``docs``); they connect all pairs at ``least`` or more that share a band.
 
-    A large group of near copies would give the square of its size in pairs.  So nodes meet one centre
-    of each band first, round by round, until few pairs of unconnected nodes are left; those all meet.
-    Only texts that share a band are moved, one for each node.
+    A large group of near copies would give the square of its size in pairs.  So all nodes of a band
+    meet one centre of it first, which tests every pair of a band of two; a second round takes other
+    centres in the larger bands that hold nodes of several groups still; in those that are left then,
+    all nodes meet.  Only texts that share a band are moved, one for each node.
     """
-    near = cut(seen.select("node", "n", F.explode("bands").alias("band")).distinct())
-    counts = near.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    near = cut(near.join(counts, "band").select("band", "node", "n"))
-    one = cut(seen.groupBy("node").agg(F.min("rid").alias("rid")).join(near.select("node").distinct(), "node", "left_semi").select("rid"))
-    sets = cut(with_shingles(seen.select("rid", "node", "text").join(one, "rid", "left_semi").select("node", "text"), k))
-    found = cut(near.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
-    for turn in range(ROUNDS + 1):
+    a_row = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("row")
+    nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), a_row))
+    near = nodes.select("node", "n", F.explode("bands").alias("band"))
+    shared = near.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    left = cut(near.join(shared, "band").select("band", "node", "n", F.col("node").alias("root"), "m"))
+    of = cut(nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "row.*"))
+    texts = docs.select("doc_id", "text", text_hash(docs).alias("text_hash"))
+    texts = texts.join(of, (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "text")
+    sets = cut(with_shingles(texts, k).dropDuplicates(["node"]))
+    for done in (nodes, of):
+        drop_cut(done)
+    found = None
+    for turn in range(ROUNDS):
+        new = cut(similar(_centres(left, turn, least), sets, least))
+        found = cut(found.union(new)) if found else new
         root = components(found).withColumnRenamed("node", "r")
-        left = cut(near.join(root, F.col("node") == F.col("r"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
-        of_root = left.groupBy("band", "root").agg(F.count("*").alias("k"))
-        counts = cut(of_root.groupBy("band").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("pairs > 0").select("band", "m", "pairs"))
-        m, pairs = counts.agg(F.sum("m"), F.sum("pairs")).first()
-        if not m:
-            return found
-        left = cut(left.join(counts.select("band"), "band", "left_semi"))
-        if turn:
-            sets = cut(sets.join(left.select("node").distinct(), "node", "left_semi"))
-        if turn == ROUNDS or pairs <= 4 * m:
-            return cut(found.union(similar(cut(_all_pairs(left, counts.select("band", "m"), least)), sets, least)))
-        met = _centres(left, turn).where(F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(least) - 1e-9)
-        pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = cut(found.union(similar(pairs, sets, least)))
-    return found
+        larger = left.where("m > 2").drop("root")
+        rooted = cut(larger.join(root, F.col("node") == F.col("r"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"), "m"))
+        drop_cut(left)
+        drop_cut(root)
+        left = rooted
+    rest = _all_pairs(left, sets, least)
+    return cut(found.union(rest) if found else rest)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int | None = None, k: int | None = None, least: float = JACCARD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
+    """doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links) and group of every row.
 
     Linked are texts whose k-word shingle sets (five words) have a Jaccard similarity of ``least`` or
     more.  With ``bits``, instead, texts whose fingerprints (of k words, four) differ in at most that
@@ -314,38 +357,53 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null texts are empty; texts without words have fingerprint 0 and link like any other.  Equal
     fingerprints or sets are one node, so copies are never paired.  Rows without an id take part and
-    get the smallest id of their component, null if it has none.  Repeated rows stay; other columns go.
+    get the smallest id of their component, null if it has none; ``group`` names the component in any
+    case.  Repeated rows stay; other columns go.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if bits is None:
-        seen = cut(with_nodes(docs, k or WORDS, fp=True).withColumn("rid", F.monotonically_increasing_id()))
-        return _named(seen, copy_links(seen, least, k or WORDS)).select("doc_id", "fp", "component_id")
-    seen = cut(with_fingerprint(docs, k=k or SHINGLE).withColumn("node", F.col("fp")))
-    return _named(seen, links(seen.select("fp").distinct(), bits)).select("doc_id", "fp", "component_id")
+        seen = cut(with_nodes(docs, k or WORDS, fp=True))
+        named = _named(seen, copy_links(docs, seen, least, k or WORDS))
+    else:
+        seen = cut(with_fingerprint(docs.withColumn("text_hash", text_hash(docs)), k=k or SHINGLE).withColumn("node", F.col("fp")))
+        named = _named(seen, links(seen.select("fp").distinct(), bits))
+    return named.select("doc_id", "text_hash", "fp", "component_id", "group")
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, least: float = JACCARD) -> DataFrame:
-    """doc_id and component_id as ``near_duplicates`` gives them by shingle sets, without fingerprints."""
-    seen = cut(with_nodes(docs.select("doc_id", "text"), k).withColumn("rid", F.monotonically_increasing_id()))
-    return _named(seen, copy_links(seen, least, k)).select("doc_id", "component_id")
+    """``near_duplicates`` by shingle sets, without fingerprints."""
+    docs = docs.select("doc_id", "text")
+    seen = cut(with_nodes(docs, k))
+    return _named(seen, copy_links(docs, seen, least, k)).select("doc_id", "text_hash", "component_id", "group")
 
 
 def _named(seen: DataFrame, edges: DataFrame) -> DataFrame:
-    """``seen`` (doc_id, node, ...) with component_id."""
+    """``seen`` (doc_id, node, ...) with component_id and group."""
     distinct = cut(seen.groupBy("node").agg(F.min("doc_id").alias("least")))
     root = components(edges).withColumnRenamed("node", "of")
     linked = cut(distinct.join(root, distinct["node"] == root["of"]).select("node", "root", "least"))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    linked = cut(linked.join(least, "root").select(F.col("node").alias("of"), "component_id"))
-    named = cut(distinct.join(linked, distinct["node"] == linked["of"], "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    return seen.drop("bands", "text").join(named, "node")
+    linked = cut(linked.join(least, "root").select(F.col("node").alias("of"), "root", "component_id"))
+    named = distinct.join(linked, distinct["node"] == linked["of"], "left")
+    named = cut(named.select("node", F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "node").alias("group")))
+    return seen.drop("bands").join(named, "node")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, one row for each; rows without id go."""
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
-    return docs.join(stay, "doc_id").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[f"`{c}`" for c in docs.columns])
+    """One row of ``docs`` for each group of ``found`` (``near_duplicates`` of ``docs``).
+
+    It is the row with the smallest id, of several the one with the smallest hash of its text; a group
+    without ids keeps a row, too.  Of rows that repeat both, any one.  Texts are moved once; groups of
+    repeated rows are reduced before they are moved.
+    """
+    keys = {"__id": F.coalesce("doc_id", F.lit(0)), "__no": F.col("doc_id").isNull()}
+    rows = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("c"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("text_hash").alias("__h"), "c")
+    first = cut(rows.groupBy("group").agg(F.min(order).alias("w")).select("w.*").withColumns(keys).select(*keys, "__h", "c"))
+    sent = docs.withColumns(keys | {"__h": text_hash(docs)})
+    single = sent.join(first.where("c = 1").drop("c"), [*keys, "__h"], "left_semi")
+    several = sent.join(first.where("c > 1").drop("c"), [*keys, "__h"], "left_semi").dropDuplicates([*keys, "__h"])
+    return single.union(several).select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex16(fp: Column) -> Column:
