@@ -76,8 +76,18 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.langid import identify
 
-    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return found.select("doc_id", "lang_id", "confidence", "keep")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return identify(docs, address="source", keep_text=False).select("doc_id", "lang_id", "confidence", "keep")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over raw web pages, which have all four evidences; fitted on the labels of the documents."""
+    from tagloom.llm.langid import identify
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), "url").withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#:]+)", 1)))
+    labelled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text", "lang")
+    found = identify(pages, key="page_id", host="host", address="url", keep_text=False, labelled=labelled)
+    return found.select("page_id", "lang_id", "confidence", "keep")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "language_of_pages": language_of_pages,
 }
 
 SQL: dict[str, str] = {"op6_topk": OP6_SQL}

@@ -37,6 +37,89 @@ def test_evidence_is_fused(spark, larger):
     assert {r.doc_id: r.lang_id for r in found.collect()} == {-1: a, -2: b, -3: a, -4: b, -5: a, -6: b}
 
 
+def plain_identify(rows, langs, table):
+    """The fused posterior by plain sums: rows of (id, text, host, url), none of them marked up twice."""
+    import re
+    from collections import defaultdict
+
+    n = len(langs)
+
+    def posterior(text):
+        raw = text.encode().lower()
+        hits = [(raw[i] * 7919 + raw[i + 1] * 263 + raw[i + 2] * 40503) % langid.BUCKETS for i in range(len(raw) - 2)]
+        total = sum((table[h].astype(float) for h in hits), np.zeros(n)) * min(1, langid.FULL / max(1, len(hits)))
+        p = np.exp(total - total.max())
+        return p / p.sum()
+
+    seen, by = [], {"globe": np.zeros(n), "suffix": defaultdict(lambda: np.zeros(n)), "host": defaultdict(lambda: np.zeros(n))}
+    for i, text, host, url in rows:
+        said = re.search(r"<html[^>]*\slang=[\"']?([a-z]{2,3})", text or "")
+        p = posterior(re.sub("<[^<>]*>", " ", text) if said else text or "")
+        suffix = re.search(r"\.([a-z]{2,})(?:[:/?]|$)", url)[1] if url else None
+        seen.append((i, text, host, suffix, said and said[1], p))
+        by["globe"] += p
+        if suffix:
+            by["suffix"][suffix] += p
+        if host:
+            by["host"][host, suffix] += p
+    w = langid.WEIGHT
+    globe = (by["globe"] + w / n) / (by["globe"].sum() + w)
+    over = {k: (v + w * globe) / (v.sum() + w) for k, v in by["suffix"].items()}
+    prior = {k: (v + w * over.get(k[1], globe)) / (v.sum() + w) for k, v in by["host"].items()}
+    claims = [(s, p) for *_, s, p in seen if s in langs]
+    trust = (sum(p[langs.index(s)] for s, p in claims) + 9) / (sum(p.sum() for _, p in claims) + 10)
+    out = {}
+    for i, text, host, suffix, said, p in seen:
+        f = p * prior.get((host, suffix), over.get(suffix, globe))
+        if said in langs:
+            f = f * np.array([trust if k == said else (1 - trust) / (n - 1) for k in langs])
+        letters = any(c.isalpha() for c in text or "")
+        out[i] = (langs[int(f.argmax())], f.max() / f.sum()) if letters else ("und", 0.0)
+    return out
+
+
+def test_against_a_plain_version(spark, larger):
+    """All rows of a small table of pages and of documents, with every kind of evidence."""
+    docs = larger.limit(300).select("doc_id", "text", "lang")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(60).select("page_id", "html", "url").collect()
+    rows = [(r.page_id, r.html, r.url.split("/")[2], r.url) for r in pages]
+    rows += [(-1, "xx", None, "http://a.org/"), (-2, "", "h", None), (-3, None, None, None), (-4, "the xx", "h", None), (-5, "12 34", None, None), (-6, "mit de la " * 20000, "h", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, url string")
+    found = {r.doc_id: r for r in langid.identify(table, address="url", labelled=docs).collect()}
+    want = plain_identify(rows, *langid.fit(docs, "text", "lang", "doc_id"))
+    assert found.keys() == want.keys()
+    for i, (lang, confidence) in want.items():
+        assert found[i].lang_id == lang and found[i].confidence == pytest.approx(confidence, abs=2e-6)
+        assert found[i].keep == (lang != "und" and round(confidence, 6) >= langid.LIMIT)
+
+
+def test_each_evidence_of_the_pages_changes_results(spark, sf):
+    """Without the markup, without the suffix, or without the host, pages of few letters get other confidences."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.concat(F.regexp_extract("html", "(<html[^>]*>)", 1), F.regexp_extract("html", "<title>(.{4})", 1)).alias("text"), "url").withColumn("source", F.regexp_extract("url", "://([^/?#:]+)", 1))
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+
+    def confidences(df, **how):
+        return {r.doc_id: (r.lang_id, r.confidence) for r in langid.identify(df, labelled=labelled, **how).collect()}
+
+    whole = confidences(pages, address="url")
+    others = [confidences(pages.withColumn("text", F.regexp_replace("text", r' lang="[^"]*"', "")), address="url"), confidences(pages), confidences(pages, address="url", host=None)]
+    for other in others:
+        assert other.keys() == whole.keys() and sum(other[i] != whole[i] for i in whole) > 0.1 * len(whole)
+
+
+def test_dirty_labels_do_not_make_the_model_grow(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = spark.range(300).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the cat and dog' ELSE 'der hund und die' END AS text", "CASE WHEN id >= 40 THEN concat('x', id) WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang", "CAST(NULL AS string) AS source")
+    assert langid.fit(docs, "text", "lang", "doc_id")[0] == ["de", "en", "und"]
+    found = langid.identify(docs)
+    assert found.where("lang_id = CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'de' END").count() == 300
+
+
+def test_declared_language_in_a_long_tag(spark):
+    rows = [(f"<!doctype html><HTML class='{'c' * 3000}' LANG = DE-at>x",), ("<html data-lang='fr'>",), ("<htmlx lang='fr'>",), ("<html>lang='fr'",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(langid.declared_in(F.col("t"))).collect()] == ["de", None, None, None, None]
+
+
 def test_suffix_and_markup(spark):
     rows = spark.createDataFrame([("http://a.b.FR/x.html",), ("a.de:80",), ("nohost",), (None,), ("ftp://x.es?q=a.fr",)], "u string")
     assert [r[0] for r in rows.select(langid.suffix_of(F.col("u"))).collect()] == ["fr", "de", None, None, "es"]
