@@ -18,31 +18,32 @@ from pyspark.sql import types as T
 
 from tagloom.llm.bpe_files import token_ranks
 from tagloom.llm.common import as_bytes, gapless, map_columns
-from tagloom.llm.token_counts import counter
+from tagloom.llm.token_counts import Counter
 from tagloom.session import cut
 
 MOST, BUCKETS, BUDGET, BIN_ROWS = 2048, 16, 65_536, 1 << 20
-#: Longer texts (characters) are counted by token_counts: the library's pattern matcher gives up on long runs.
-LONG = 1 << 16
 
 
 @lru_cache(maxsize=1)
-def library() -> tiktoken.Encoding:
+def lengths_of() -> Counter:
+    """Counts as ``count_tokens`` does, with the public library for each pre-token."""
     ranks = token_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    library = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Counter(public_tokenizers.path("byte_bpe_50k.json"), lambda s: len(library._encode_single_piece(s)), 1 << 18)
 
 
 def with_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` in place of the text: the same numbers as ``count_tokens``, by the
-    public library up to LONG characters.  A narrow map; null and empty texts have 0 tokens."""
+    """``docs`` with ``n_tokens`` in place of the text: the same numbers as ``count_tokens``.
 
-    def one(raw: bytes) -> int:
-        t = raw.decode("utf-8", "replace")
-        return len(library().encode(t, allowed_special="all")) if len(t) <= LONG else counter(public_tokenizers.path("byte_bpe_50k.json"))(t)
+    A narrow map.  Null and empty texts have 0 tokens; texts of any length are counted alike."""
+
+    def run(columns):
+        count = lengths_of()
+        return [[count(t.decode("utf-8", "replace")) for t in columns[0].to_pylist()]]
 
     sent = docs.withColumn("__bytes", as_bytes(docs, text))
     schema = T.StructType([T.StructField("n_tokens", T.LongType())])
-    return map_columns(sent, ["__bytes"], schema, lambda c: [[one(t) for t in c[0].to_pylist()]], drop=("__bytes", text))
+    return map_columns(sent, ["__bytes"], schema, run, drop=("__bytes", text))
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -92,19 +93,19 @@ def pack(counted: DataFrame, most: int = MOST, buckets: int = BUCKETS, budget: i
     """Every piece with its bucket, the length it is padded to, its batch and its slot there.
 
     ``counted``: doc_id and n_tokens (null counts as 0).  A batch holds at most budget // padded
-    pieces of one bucket, at least one; only the last of a bucket may be smaller.  Repeated rows and
-    null ids are packed like others; an empty input gives an empty output.  The histogram that comes
+    pieces of one bucket, at least one; only the last of a bucket may be smaller.  A piece's place is drawn by
+    its row, not by its id, so repeated rows and null ids are spread and packed like others; an empty input gives an empty output.  The histogram that comes
     to the driver has at most ``most`` + 1 rows.
     """
     if not 0 < most <= budget:
         raise ValueError("a piece has to fit into a batch")
-    cut_up = cut(pieces(counted, most))
+    cut_up = cut(pieces(counted, most).withColumn("__m", F.monotonically_increasing_id()))
     histogram = cut_up.groupBy("length").count().collect()
     ends = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     rows = sum(r[1] for r in histogram)
     padded = F.array(*[F.lit(e) for e in ends]) if ends else F.array(F.lit(0))
     bucketed = cut_up.withColumn("bucket", F.size(F.filter(padded, lambda e: e < F.col("length")))).withColumn("padded", F.element_at(padded, F.col("bucket") + 1))
-    key = lambda k: F.xxhash64(F.lit(seed * 8 + k), "doc_id", "piece")
-    ranked = gapless(bucketed, "bucket", key, ["doc_id", "piece", "length"], max(32, -(-rows // BIN_ROWS)), "at")
+    key = lambda k: F.xxhash64(F.lit(seed * 8 + k), "__m")
+    ranked = gapless(bucketed, "bucket", key, ["__m"], max(32, -(-rows // BIN_ROWS)), "at")
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("padded", F.lit(1)))).cast("long")
     return ranked.select("doc_id", "piece", "token_start", "length", "bucket", "padded", F.floor(F.col("at") / room).alias("batch"), (F.col("at") % room).cast("int").alias("slot"))

@@ -31,14 +31,14 @@ BASE = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-#: kind, pattern, what a text must hold besides a digit
+#: kind, pattern, what a text must hold besides a digit; if several strings, one of these and no digit
 MORE = [
     ("secret", r"(?:\G|(?<![A-Za-z0-9_/+-]))(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+", None),
-    ("secret", r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\x20?[:=]\x20?[\"']?[^\s\"',;]{6,}+", None),
+    ("secret", r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\x20?[:=]\x20?[\"']?[^\s\"',;]{6,}+", "=|:"),
     ("phone", r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9]|\.[0-9])", None),
     ("phone", r"(?<![0-9+.])0[0-9](?:[\x20.-]?[0-9]{2}){4}(?![0-9])", None),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2,3}(?:[\x20.-]?[0-9]{1,3})?(?![0-9])", None),
-    ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+\x20?(?:\[at\]|\(at\)|\x20at\x20|\x20AT\x20)\x20?[A-Za-z0-9-]{{1,63}}+(?:(?:\x20?(?:\[dot\]|\(dot\))\x20?|\x20dot\x20|\x20DOT\x20|\.)[A-Za-z0-9-]{{2,63}}+){{1,4}}+", "(at)|[at]| at | AT "),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\x20at\x20|\x20AT\x20)\x20?[\p{L}\p{N}-]{1,63}+(?:(?:\x20?(?:\[dot\]|\(dot\))\x20?|\x20dot\x20|\x20DOT\x20|\.)[\p{L}\p{N}-]{2,63}+){1,4}+", "(at)|[at]| at | AT "),
     ("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-"),
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", ":"),
@@ -56,11 +56,14 @@ def let(body: Callable[..., Column], **values: Column) -> Column:
     return F.element_at(one, 1)
 
 
-def running(values: Column) -> Column:
-    """Sums of all that stands before each element, with the total at the end; n * sqrt(n) at worst."""
+def running(values: Column, op: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Sums of all that stands before each element, with the total at the end; n * sqrt(n) at worst.
+
+    ``op``: what takes the place of the sum, with 0 for nothing (for instance the greatest of numbers
+    that are not negative)."""
     zero = F.lit(0).cast("bigint")
-    grow = lambda start, xs: F.aggregate(xs, F.array(start), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+    grow = lambda start, xs: F.aggregate(xs, F.array(start), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)))
+    total = lambda xs: F.aggregate(xs, zero, op)
     cut_up = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
 
     def joined(parts: Column, starts: Column) -> Column:
@@ -129,7 +132,7 @@ WORDS = {
     "near_card": r"(?i)(?:card|visa|mastercard|amex|account|karte|carte|tarjeta)\W{0,12}(?:no|number|nr)?\W{0,4}$",
     "near_id": r"(?i)(?:ssn|social security|iban|passport|tax|steuer|insee|dni)\W{0,12}$",
     "near_mail": r"(?i)(?:mail|contact|write to|reach)\W{0,12}$",
-    "near_plain": r"(?i)(?:version|license|licence|page|chapter|figure|fig|section|isbn|issn|order|item|model|part|serial|doi|build|commit|sha|md5|checksum|rev)\W{0,6}(?:no|number|nr)?\W{0,4}$",
+    "near_plain": r"(?i)(?:version|license|licence|pages?|chapters?|figure|fig|sections?|isbn|issn|orders?|items?|model|part|serial|doi|build|commit|sha|md5|checksum|rev)\W{0,6}(?:no|number|nr)?\W{0,4}$",
 }
 
 
@@ -157,15 +160,20 @@ def features(c: Column) -> list[Column]:
         F.regexp_like(hit, F.lit("^[0-9a-f]+$")).cast("double").alias("hex"),
         F.coalesce(F.when(F.length(number).between(12, 19), F.call_function("luhn_check", number)), F.lit(False)).cast("double").alias("luhn"),
         F.regexp_like(hit, F.lit(r"[:=]")).cast("double").alias("assigned"),
+        F.contains(hit, F.lit("=")).cast("double").alias("equals"),
+        F.regexp_like(hit, F.lit(r"(?i)(?:\.|dot[\])]?)\x20?(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk)$")).cast("double").alias("tld"),
+        F.regexp_like(hit, F.lit(r"(?i)[\[(](?:at|dot)[\])]")).cast("double").alias("bracketed"),
+        F.length(F.regexp_extract(hit, "([0-9]++)", 1)).cast("double").alias("first_run"),
+        F.length(F.regexp_extract(hit, "([0-9]++)[^0-9]*+$", 1)).cast("double").alias("last_run"),
         F.regexp_like(hit, F.lit(r"^(?:19|20)[0-9]{2}[-/.\x20]")).cast("double").alias("year_first"),
         *[flag(F.regexp_like(c["before"], F.lit(p))).alias(name) for name, p in WORDS.items()],
-        flag(F.regexp_like(c["before"], F.lit(r"[A-Za-z0-9]$"))).alias("glued_before"),
-        flag(F.regexp_like(c["after"], F.lit(r"^[A-Za-z0-9]"))).alias("glued_after"),
+        flag(F.regexp_like(c["before"], F.lit(r"[\p{L}\p{N}]$"))).alias("glued_before"),
+        flag(F.regexp_like(c["after"], F.lit(r"^[\p{L}\p{N}]"))).alias("glued_after"),
     ]
 
 
 FEATURES = [f"is_{k}" for k in KINDS] + [
-    "length", "digits", "digit_share", "upper", "lower", "separators", "distinct", "digit_runs", "letter_runs", "hex", "luhn", "assigned", "year_first", *WORDS, "glued_before", "glued_after",
+    "length", "digits", "digit_share", "upper", "lower", "separators", "distinct", "digit_runs", "letter_runs", "hex", "luhn", "assigned", "equals", "tld", "bracketed", "first_run", "last_run", "year_first", *WORDS, "glued_before", "glued_after",
 ]
 
 
@@ -217,13 +225,14 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     out = ("n_email", "n_ip", "n_card", "n_phone", "base", "spans")
     own = [c for c in docs.columns if c.lower() not in out]
     slim = lambda xs: F.transform(xs, lambda c: F.struct(c["start"], c["rank"], c["stop"], c["kind"]))
+    distinct = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1)))  # noqa: E731  of sorted ones
     seen = candidates(docs, text)
     scored = F.transform("__more", lambda c: F.struct(c.alias("c"), F.struct(*features(c)).alias("f")))
     chosen = F.transform(F.filter("__scored", lambda x: score(x["f"], trained) >= limits[x["c"]["kind"]]), lambda x: x["c"])
     return (
         seen.withColumn("__scored", F.when(F.size("__more") > 0, scored))
         .withColumn("base", F.array_sort(slim(F.concat(*[F.col(f"__{k}") for k in BASE]))))
-        .withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", F.coalesce(slim(chosen), F.array().cast(SPAN))))))
+        .withColumn("spans", let(distinct, xs=F.array_sort(F.concat("base", F.coalesce(slim(chosen), F.array().cast(SPAN))))))
         .select(*[f"`{c}`" for c in own], *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE], "base", "spans")
     )
 
@@ -233,35 +242,34 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-#: Characters of a block that is rebuilt at once.
+#: Characters of a piece of the text, in which places are found by counting.
 PIECE = 4096
 
 
 def redact(found: DataFrame, text: str = "text", spans: str = "spans") -> Column:
-    """The text with every span, overlapping ones merged, replaced by its first kind in brackets."""
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>")
-
-    def fuse(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))))
-        fresh = F.array_append(acc, F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-        return F.when(F.size(acc) == 0, fresh).when(F.try_element_at(acc, F.lit(-1))["stop"] >= s["start"], joined).otherwise(fresh)
+    """The text with every span, overlapping ones merged, replaced by its first kind in brackets.
 
-    merged = F.aggregate(F.col(spans), empty, fuse)
+    ``spans`` is in order of start.  What lies between the furthest stop so far and a span's start is
+    taken from pieces of the text, so the work is linear in the text plus a piece for each span.
+    """
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
-
-    def rebuilt(piece: Column, i: Column, merged: Column) -> Column:
-        at, size = i.cast("bigint") * PIECE, F.length(piece)
-        here = F.filter(merged, lambda s: (s["start"] < at + size) & (s["stop"] > at))
-        start = F.struct(F.lit(0).cast("bigint").alias("done"), F.lit("").alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            a, b = F.greatest(s["start"] - at, F.lit(0)), F.least(s["stop"] - at, size.cast("bigint"))
-            label = F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-            return F.struct(b.alias("done"), F.concat(acc["out"], F.substring(piece, (acc["done"] + 1).cast("int"), (a - acc["done"]).cast("int")), label).alias("out"))
-
-        done = F.aggregate(here, start, step)
-        return F.when(F.size(here) == 0, piece).otherwise(F.concat(done["out"], F.substring(piece, (done["done"] + 1).cast("int"), size)))
-
-    whole = F.transform(F.array(F.struct(merged.alias("m"), pieces.alias("p"))), lambda z: F.array_join(F.transform(z["p"], lambda p, i: rebuilt(p, i, z["m"])), ""))
-    return F.when(F.size(spans) > 0, F.element_at(whole, 1)).otherwise(F.col(text))
+    whole_part = lambda x: F.floor(x / PIECE).cast("int")
+    rest = lambda x: F.pmod(x, F.lit(PIECE)).cast("int")
+
+    def between(p: Column, a: Column, b: Column) -> Column:
+        i, j = whole_part(a), whole_part(b)
+        first = F.substring(F.get(p, i), rest(a) + 1, F.lit(PIECE))
+        last = F.coalesce(F.substring(F.get(p, j), F.lit(1), rest(b)), F.lit(""))
+        one = F.substring(F.get(p, i), rest(a) + 1, (b - a).cast("int"))
+        return F.when(a >= b, F.lit("")).when(i == j, one).otherwise(F.concat(first, F.array_join(F.slice(p, i + 2, j - i - 1), ""), last))
+
+    def rebuilt(p: Column, s: Column, far: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            fresh = (i == 0) | (x["start"] > F.get(far, i))
+            return F.when(fresh, F.concat(between(p, F.get(far, i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(s, one), ""), between(p, F.element_at(far, -1), F.length(F.col(text)).cast("bigint")))
+
+    stops = F.transform(F.col(spans), lambda x: x["stop"])
+    furthest = running(stops, lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(rebuilt, p=pieces, s=F.col(spans), far=furthest)).otherwise(F.col(text))

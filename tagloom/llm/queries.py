@@ -26,7 +26,8 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.media import feature_digest, read_back, store
 
     seen = read_back(store(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return seen.withColumn("feature", feature_digest()).drop("fingerprint")
+    columns = [c for c in seen.columns if c != "fingerprint"]
+    return seen.select(*columns, feature_digest().alias("feature"), "fingerprint")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ of initial symbols minus the number of merges; no identifier is looked up or emi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from operator import or_
@@ -71,12 +72,18 @@ def count_symbols(piece: bytes, pairs: dict[int, int], result: list[int]) -> int
 
 
 class Counter:
-    """Counts whole texts as the library does: special strings are one token each."""
+    """Counts whole texts as the library does: special strings are one token each.
 
-    def __init__(self, path: str):
+    ``one`` counts the symbols of a pre-token; by the heap, if it is not given.  ``most``: pre-tokens
+    and chunks that are remembered.
+    """
+
+    def __init__(self, path: str, one: Callable[[bytes], int] | None = None, most: int = 1 << 20):
         ranks, special = merge_ranks(path)
-        pairs, result = number_merges(ranks)
-        self.chunks = Chunks(lambda s: count_symbols(s.encode(), pairs, result), sum, 1 << 20)
+        if one is None:
+            pairs, result = number_merges(ranks)
+            one = lambda s: count_symbols(s, pairs, result)
+        self.chunks = Chunks(lambda s: one(s.encode()), sum, most)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
     def __call__(self, text: str) -> int:

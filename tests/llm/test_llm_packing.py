@@ -78,11 +78,11 @@ def test_nulls_repeats_and_nothing(spark):
         packing.pack(df, 10, 2, 9)
 
 
-def test_lengths_are_the_counted_tokens(awkward, monkeypatch):
-    """Also for special strings, and on either side of the limit for the library."""
+def test_lengths_are_the_counted_tokens(spark, awkward):
+    """Also for special strings and for runs that are very long."""
     from tagloom.llm.token_counts import count_tokens
 
-    want = sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(awkward).collect())
-    for long in (packing.LONG, 20):
-        monkeypatch.setattr(packing, "LONG", long)
-        assert sorted((r.doc_id or 0, r.n_tokens) for r in packing.with_lengths(awkward).collect()) == want
+    long = spark.createDataFrame([(i, t * 30_000) for i, t in enumerate([" ", "ab", "a b ", "\n\t", "é😀"], 100)], "doc_id long, text string")
+    docs = awkward.select("doc_id", "text").union(long)
+    counted, lengths = (sorted((r.doc_id or 0, r.n_tokens) for r in f(docs).collect()) for f in (count_tokens, packing.with_lengths))
+    assert counted == lengths

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tagloom.llm import pii, queries
 from tagloom.llm.pii_train import luhn
 
@@ -77,6 +79,9 @@ PRIVATE = [
     ("phone", "please call (415) 555-2671 after noon"),
     ("id", "her SSN: 078-05-1120 was leaked"),
     ("email", "contact jane.doe [at] example [dot] com soon"),
+    ("phone", "reach us under 312.555.0188 or"),
+    ("phone", "or 0171 555 2368 in town"),
+    ("secret", "with password=correcthorse in the file"),
 ]
 CLEAN = ["version 10.4.2 came out", "see pages 210-215 and section 3", "commit of the long walk in 1999", "order no 12 of 24 items", "the token: the word"]
 
@@ -108,6 +113,31 @@ def test_redaction_against_plain_version(spark, documents):
     assert changed
 
 
+def test_redaction_of_chosen_spans(spark):
+    """Touching, nested, equal and overlapping spans, at and across the ends of pieces."""
+    r, rows = random.Random(11), []
+    for i in range(60):
+        text = "".join(r.choice("abé🙂 ") for _ in range(r.choice([5, 100, 4096, 9000])))
+        spans = sorted((a, k, min(len(text), a + r.choice([1, 3, 5000])), pii.KINDS[k]) for a, k in ((r.randrange(len(text)), r.randrange(4)) for _ in range(r.choice([0, 1, 5, 600]))))
+        rows.append((i, text, spans))
+    schema = "id int, text string, spans array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
+    found = spark.createDataFrame(rows, schema)
+    for i, clean in found.select("id", pii.redact(found)).collect():
+        _, text, spans = rows[i]
+        want, far = "", 0
+        for a, _, b, kind in spans:
+            if not want and not far or a > far:
+                want += text[far:a] + f"[{kind.upper()}]"
+            far = max(far, b)
+        assert clean == want + text[far:]
+
+
+def test_redaction_of_very_many_spans(spark):
+    n = 100_000
+    found = spark.range(1).select(F.repeat(F.lit("é a@b.co "), n).alias("text"), F.expr(f"transform(sequence(0L, {n - 1}L), i -> named_struct('start', i * 9 + 2, 'rank', 0, 'stop', i * 9 + 8, 'kind', 'email'))").alias("spans"))
+    assert found.select((pii.redact(found) == F.repeat(F.lit("é [EMAIL] "), n)).alias("same")).first().same
+
+
 def test_awkward_rows(awkward, none):
     rows = pii.find(awkward).collect()
     for r in rows:
@@ -117,4 +147,4 @@ def test_awkward_rows(awkward, none):
 
 def test_model_was_held_out():
     trained = pii.model()
-    assert trained["held_out_log_loss"] < 0.2 and min(v for v in trained["held_out_recall"].values() if v is not None) > 0.5
+    assert trained["held_out_log_loss"] < 0.2 and min(trained["held_out_recall"].values()) >= 0.9 and min(trained["held_out_precision"].values()) >= 0.98
