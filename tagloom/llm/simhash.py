@@ -193,13 +193,16 @@ def shingle_set(text: bytes, k: int = WORDS) -> np.ndarray:
 _TURNS = np.array([xxhash.xxh64_intdigest(b"turn%d" % i, SEED) | 1 for i in range(BANDS * MINIMA)], np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A long for each band, equal where all minima of the band are; an empty set has no bands."""
-    if not len(hashes):
-        return []
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least hash in each of the orders; of an empty set, the greatest number."""
     least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), MINIMISED):
         least = np.minimum(least, (hashes[i : i + MINIMISED, None] * _TURNS).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """A long for each band, equal where all its minima are."""
     lines = least.astype("<u8").reshape(BANDS, MINIMA)
     return np.array([xxhash.xxh64_intdigest(line.tobytes(), i) for i, line in enumerate(lines)], np.uint64).view(np.int64).tolist()
 
@@ -210,16 +213,19 @@ def text_hash(docs: DataFrame, text: str = "text") -> Column:
 
 
 def with_nodes(docs: DataFrame, k: int = WORDS, fp: bool = False) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set), n (its size) and bands of every row."""
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    """doc_id, text_hash, node (a hash of the shingle set), n (its size), bands and sketch (16 bits of
+    each of the minima) of every row; an empty set has no bands."""
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
 
     def run(columns: list[pa.Array]) -> list[list]:
-        rows: list[list] = [[] for _ in range(3 + fp)]
+        rows: list[list] = [[] for _ in range(4 + fp)]
         for text in columns[0]:
             text = text.as_py()
             found = shingle_set(text, k)
             digest = xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED)
-            line = [int(np.uint64(digest).astype(np.int64)), len(found), bands(found), *([fingerprint(text)] if fp else [])]
+            least = minima(found)
+            sketch = (least >> np.uint64(20)).astype("<u2").tobytes()
+            line = [int(np.uint64(digest).astype(np.int64)), len(found), bands(least) if len(found) else [], sketch, *([fingerprint(text)] if fp else [])]
             for out, v in zip(rows, line):
                 out.append(v)
         return rows
@@ -245,8 +251,29 @@ def sizes_allow(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - 1e-9
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that agree in enough of their minima.
+
+    Of 128 minima a pair at 0.8 agrees in 102 on average; one in 10^8 such pairs in fewer than 60 %.
+    """
+    enough = (least - 0.2) * BANDS * MINIMA
+    first, second = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}s")) for c in "ab")
+    met = pairs.join(first, "a").join(second, "b").select("a", "b", "as", "bs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BANDS * MINIMA) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
+
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more, exactly."""
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more, exactly.
+
+    Sets are moved only for pairs whose sketches agree in enough of their minima.
+    """
+    pairs = cut(likely(pairs, sets, least))
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "as", "bs")
 
@@ -276,7 +303,7 @@ def _all_pairs(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     of = left.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     of = of.select("band", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / SHINGLES)).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("node"), "chunks").cast("int")
-    member = left.join(of, "band").select("band", "node", "root", "chunks", mine.alias("mine")).join(sets, "node")
+    member = left.join(of, "band").select("band", "node", "root", "chunks", mine.alias("mine")).join(sets.select("node", "shingles"), "node")
     met = (
         member.select("band", "node", "root", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -324,13 +351,13 @@ def copy_links(docs: DataFrame, seen: DataFrame, least: float = JACCARD, k: int
     all nodes meet.  Only texts that share a band are moved, one for each node.
     """
     a_row = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("row")
-    nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), a_row))
+    nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), a_row))
     near = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = near.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     left = cut(near.join(shared, "band").select("band", "node", "n", F.col("node").alias("root"), "m"))
-    of = cut(nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "row.*"))
+    of = cut(nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "sketch", "row.*"))
     texts = docs.select("doc_id", "text", text_hash(docs).alias("text_hash"))
-    texts = texts.join(of, (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "text")
+    texts = texts.join(of, (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "sketch", "text")
     sets = cut(with_shingles(texts, k).dropDuplicates(["node"]))
     for done in (nodes, of):
         drop_cut(done)
@@ -386,7 +413,7 @@ def _named(seen: DataFrame, edges: DataFrame) -> DataFrame:
     linked = cut(linked.join(least, "root").select(F.col("node").alias("of"), "root", "component_id"))
     named = distinct.join(linked, distinct["node"] == linked["of"], "left")
     named = cut(named.select("node", F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "node").alias("group")))
-    return seen.drop("bands").join(named, "node")
+    return seen.drop("bands", "sketch").join(named, "node")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
