@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.dna import BASES, hamming_neighbours, levenshtein_neighbours
+from tagloom.functions.dna import BASES, hamming_neighbours, levenshtein_neighbours, windows
 
 AMBIGUOUS = object()
 
@@ -149,32 +150,49 @@ def levenshtein_ring(tag: Column) -> Column:
     return F.concat(F.array(F.struct(tag.alias("tag"), F.lit(0).alias("distance"))), F.transform(near, lambda x: F.struct(x.alias("tag"), F.lit(1).alias("distance"))))
 
 
-def lookup_table(tags: DataFrame, ring: Callable[[Column], Column] = hamming_ring) -> DataFrame:
+def lookup_table(tags: DataFrame, ring: Callable[[Column], Column] = hamming_ring, distance: int = 1) -> DataFrame:
     """(observed, item, distance): the unique item at the least distance; ambiguous ones are left out.
 
-    ``tags``: tag, item.  One shuffle on the observed tag; items combine before it.
+    ``tags``: tag, item.  What is within ``distance`` is reached by as many steps of the ``ring`` of
+    distance one; each step goes on from what is new.  One shuffle on item and observed tag a step
+    beyond the first, and one on the observed tag; items combine before it.
     """
-    near = tags.select("item", F.explode(ring(F.col("tag"))).alias("x")).select("item", F.col("x.tag").alias("observed"), F.col("x.distance").alias("distance"))
+    near = tags.select("item", F.col("tag").alias("observed"), F.lit(0).alias("distance"))
+    for step in range(distance):
+        further = near.where(F.col("distance") == step).select("item", F.explode(ring(F.col("observed"))).alias("x")).where("x.distance = 1")
+        near = near.union(further.select("item", F.col("x.tag").alias("observed"), F.lit(step + 1).alias("distance")))
+        if step + 1 < distance:
+            near = near.groupBy("item", "observed").agg(F.min("distance").alias("distance"))
     least = near.groupBy("observed").agg(F.min(F.struct("distance", "item")).alias("lo"), F.max(F.struct(-F.col("distance"), "item")).alias("hi"))
     unique = F.col("lo.item") == F.col("hi.item")
     return least.where(unique).select("observed", F.col("lo.item").alias("item"), F.col("lo.distance").alias("distance"))
 
 
+def search_windows(reads: DataFrame, lookup: DataFrame, key: str, read: str, length: int) -> DataFrame:
+    """``search_all`` as a join: (key, item, distance) of every read, null unless one window alone has
+    the least distance.  The windows of a read are few, and counted before they are moved by its key."""
+    called = reads.select(key, F.explode(windows(F.col(read), length)).alias("observed")).join(lookup, "observed")
+    per = called.groupBy(key, "distance").agg(F.count("*").alias("n"), F.min("item").alias("item"))
+    best = per.groupBy(key).agg(F.min(F.struct("distance", "n", "item")).alias("best")).where("best.n = 1").select(key, "best.item", "best.distance")
+    return reads.select(key).join(best, key, "left")
+
+
 def call_tags(observed: DataFrame, lookup: DataFrame, tag: str = "tag") -> DataFrame:
     """``observed`` with item and distance, null where there is no call.  Catalyst broadcasts the
     lookup if it is small and shuffles both sides on the tag if not."""
     return observed.join(lookup, observed[tag] == lookup["observed"], "left").drop("observed")
 
 
-def min_levenshtein(tags: DataFrame, most: int = 8) -> int | None:
+def min_levenshtein(tags: DataFrame) -> int | None:
     """The least edit distance between two rows of ``tags`` (tag, item), without comparing all pairs.
 
     Two strings within d edits share a string that d deletions at most make of either; so for d = 0,
-    1, ... the tags are joined on those, until a pair within d is found.  None if there is none up to
-    ``most`` or under two tags.
+    1, ... the tags are joined on those, until a pair within d is found.  None if there are no two items.
     """
     left = tags.select("tag", "item")
-    for d in range(most + 1):
+    if left.select("item").distinct().limit(2).count() < 2:
+        return None
+    for d in count():
         variants = F.array(F.col("tag"))
         for _ in range(d):
             variants = _shorter(variants)

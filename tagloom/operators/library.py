@@ -6,6 +6,10 @@ import re
 from dataclasses import dataclass, field
 from math import prod
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SUBSET = ":::"
 KINDS = ("static", "library", "bb", "umi", "tool", "variable", "mixed")
 
 
@@ -140,7 +144,23 @@ class BlockSet:
 
 
 def subset_id(set_id: str, subset: str | None) -> str:
-    return set_id if subset is None else f"{set_id}:::{subset}"
+    return set_id if subset is None else f"{set_id}{SUBSET}{subset}"
+
+
+def is_null_block(bb_id: Column) -> Column:
+    """``Block.is_null`` of a column of ids."""
+    return F.contains(F.lower(bb_id), F.lit("null"))
+
+
+def subset_reference_of(set_id: Column, subset: Column) -> Column:
+    """``subset_id`` of two columns."""
+    return F.when(subset.isNull(), set_id).otherwise(F.concat(set_id, F.lit(SUBSET), subset))
+
+
+def subset_parts(reference: Column) -> tuple[Column, Column]:
+    """Set and subset of a column of references; no subset: null."""
+    parts = F.split(reference, SUBSET)
+    return F.get(parts, 0), F.get(parts, 1)
 
 
 @dataclass(eq=False)

@@ -25,10 +25,13 @@ def pie(values: dict[str, float], size: int = 240) -> str:
 
 
 def rows_table(df: DataFrame, most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+    """An HTML table of all rows; beyond ``most`` rows, of the first ones and a line that says so."""
+    rows = df.limit(most + 1).collect()
+    cut = f"<p>The first {most} of {df.count()} rows.</p>" if len(rows) > most else ""
+    rows = rows[:most]
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:g}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<table><tr>{head}</tr>{body}</table>"
+    return f"{cut}<table><tr>{head}</tr>{body}</table>"
 
 
 def page(title: str, sections: list[tuple[str, str]]) -> str:

@@ -179,8 +179,35 @@ def test_full_alignment_decodes_every_line_item(spark, sf):
     """Full alignment gives a read for each line item, as the other modes do."""
     import __spark_entry__ as entry
 
-    found, other = (entry.queries()[q](spark, sf) for q in ("decode_full_reads", "decode_reads"))
-    assert entry.oracle_sql()["decode_full_reads"] == entry.oracle_sql()["decode_reads"]
+    found, other = (entry.queries()[q](spark, sf) for q in ("decode_full", "decode_reads"))
+    assert entry.oracle_sql()["decode_full"] == entry.oracle_sql()["decode_reads"]
     rows = found.collect()
     assert sorted(rows) == sorted(other.collect())
     assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("ring, neighbours", [(C.hamming_ring, hamming_neighbours), (C.levenshtein_ring, levenshtein_neighbours)])
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_lookup_table_at_any_distance(spark, ring, neighbours, distance):
+    """Against the callers of the decoder: the same calls, and nothing where those are ambiguous."""
+    tags = {"ACGTA": 1, "TTGCA": 2, "GGGAC": 3}
+    want = {o: (c.item, int(c.score)) for o, c in C.correcting_caller(tags, neighbours, distance, True).table.items() if c is not C.AMBIGUOUS}
+    table = C.lookup_table(spark.createDataFrame([*tags.items()], "tag string, item int"), ring, distance)
+    assert {r.observed: (r.item, r.distance) for r in table.collect()} == want
+
+
+def test_search_windows_equals_search_all(spark):
+    tags = {"AAAA": 1, "CCCC": 2, "ACGT": 3}
+    reads = ["AAAAG", "GAAAACCCC", "GGGG", "TACGTT", "AAAAA", "", "ACG", "AACCAAAA", "ACGA"]
+    lookup = C.lookup_table(spark.createDataFrame([*tags.items()], "tag string, item int"))
+    caller = C.make_caller(tags, "hamming_dist:1,asymmetrical")
+    found = C.search_windows(spark.createDataFrame([*enumerate(reads)], "i int, read string"), lookup, "i", "read", 4)
+    for r in found.collect():
+        hit = C.search_all(reads[r.i], caller, 4)
+        assert (r.item, r.distance) == ((hit[0].item, hit[0].score) if hit not in (None, C.AMBIGUOUS) else (None, None)), reads[r.i]
+
+
+def test_least_distance_has_no_bound(spark):
+    far = spark.createDataFrame([("A" * 12, 1), ("C" * 12, 2)], "tag string, item int")
+    assert C.min_levenshtein(far.where("item = 1")) is None
+    assert C.min_levenshtein(spark.createDataFrame([("AAAAAAAAA", 1), ("CCCCCCCCC", 2)], "tag string, item int")) == 9
