@@ -36,9 +36,22 @@ def umi_counts(decoded: DataFrame, score_threshold: float = 100.0) -> DataFrame:
 
 def collect(decoded: DataFrame, score_threshold: float = 100.0) -> DataFrame:
     """One row for each compound: its distinct UMIs and their counts, both in UMI order."""
+    return listed(umi_counts(decoded, score_threshold))
+
+
+def listed(umis: DataFrame) -> DataFrame:
+    """One row for each compound of (compound, umi, c).
+
+    A file format: the list is as long as the compound has distinct UMIs.  Counting starts from
+    ``umi_counts`` and holds no list.
+    """
     pairs = F.array_sort(F.collect_list(F.struct(F.col("umi").alias("k"), "c")))
-    grouped = umi_counts(decoded, score_threshold).groupBy(*COMPOUND).agg(pairs.alias("umi_counts"))
-    return grouped.select(*COMPOUND, F.col("umi_counts.k").alias("umi"), "umi_counts")
+    return umis.groupBy(*COMPOUND).agg(pairs.alias("umi_counts")).select(*COMPOUND, F.col("umi_counts.k").alias("umi"), "umi_counts")
+
+
+def regrouped(collected: DataFrame) -> DataFrame:
+    """Collected compounds of several runs as one: counts of equal UMIs are added up."""
+    return listed(exploded(collected).groupBy(*COMPOUND, "umi").agg(F.sum("c").alias("c")))
 
 
 def exploded(collected: DataFrame) -> DataFrame:
@@ -146,8 +159,12 @@ def corrected_set_based(umis: DataFrame, directional: bool) -> DataFrame:
 
 
 def count_compounds(collected: DataFrame, method: str | None = "directional", raw: bool = False, dedup: bool = False) -> DataFrame:
+    """``count_umis`` of a collected file."""
+    return count_umis(exploded(collected), method, raw, dedup)
+
+
+def count_umis(umis: DataFrame, method: str | None = "directional", raw: bool = False, dedup: bool = False) -> DataFrame:
     """Counted compounds as the count step writes them: ``count`` and, on demand, the other two."""
-    umis = exploded(collected)
     plain = raw_and_dedup(umis)
     if method is None:
         out = plain.withColumn("count", F.col("dedup_count"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tagloom.operators.library import Library
+from tagloom.operators.library import SUBSET, Block, Library
 
 FAILED = "ENUMERATION_FAILED"
 
@@ -158,6 +158,41 @@ def enumerate_library(spark: SparkSession, library: Library, runner: Callable[[l
     return run_reactions(df, [f"BB{i}_SMILES" for i in range(1, len(tables) + 1)], runner, on_failure)
 
 
+def thread_blocks(library: Library, key: frozenset) -> list[list[Block]]:
+    """The real non-null blocks that a thread takes, set by set in the library's order; an unused set gives none."""
+    taken = {x.split(SUBSET)[0]: x for x in key}
+    return [[b for b in (s.subset(taken[s.set_id]) if SUBSET in taken[s.set_id] else s.blocks) if b.is_real and not b.is_null] for s in library.sets if s.set_id in taken]
+
+
+def enumerate_threads(
+    spark: SparkSession, library: Library, tree: Tree, runner_of: Callable[[list[Step], list[str]], Callable[[list[str]], str | None]] | None = None, on_failure: str = "null", threads: list[frozenset] | None = None,
+) -> DataFrame:
+    """Members thread by thread: each way through the reactions takes its own subsets of the blocks.
+
+    ``runner_of`` makes a thread's runner from its steps and the sets it takes, for instance
+    ``rdkit_runner``; ``threads``: only these keys (all).  A column ``thread`` names the subsets.  Threads
+    must take all sets, so that members have as many blocks as the library has cycles.
+    """
+    if on_failure not in ("null", "drop", "raise"):
+        raise ValueError(f"on_failure {on_failure!r}")
+    parts = []
+    for key, steps in tree.threads:
+        if threads is not None and key not in threads:
+            continue
+        blocks = thread_blocks(library, key)
+        if len(blocks) != len(library.sets):
+            raise ValueError(f"thread {sorted(key)} does not take every set of {library.library_id}")
+        df = members([spark.createDataFrame([(b.bb_id, b.smiles) for b in bs], "bb_id string, smiles string") for bs in blocks], library.library_id)
+        order = [x for s in library.sets for x in key if x.split(SUBSET)[0] == s.set_id]
+        runner = runner_of(steps, order) if runner_of else None
+        columns = [f"BB{i}_SMILES" for i in range(1, len(blocks) + 1)]
+        made = run_reactions(df, columns, runner, on_failure) if runner else df.withColumn("SMILES", F.lit(None).cast("string"))
+        parts.append(made.withColumn("thread", F.lit(",".join(order))))
+    if not parts:
+        raise KeyError("no such thread")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_reactions(df: DataFrame, columns: list[str], runner: Callable[[list[str]], str | None], on_failure: str = "null") -> DataFrame:
     at = [df.columns.index(c) for c in columns]
     schema = StructType([*df.schema.fields, StructField("SMILES", StringType())])  # add() would change the cached schema
@@ -181,9 +216,10 @@ def by_ids(spark: SparkSession, library: Library, bb_ids: list[str], runner: Cal
     return {"DEL_ID": library.compound_id(bb_ids), "SMILES": smiles}
 
 
-def rdkit_runner(steps: list[Step], order: list[str], pick: int = 1) -> Callable[[list[str]], str | None]:
+def rdkit_runner(steps: list[Step], order: list[str], pick: int = 1, find: Callable[[str], str] = str) -> Callable[[list[str]], str | None]:
     """A runner for a thread's steps with RDKit: the first reaction that gives a product counts, and of
-    that the ``pick``-th fragment.  ``order``: the set ids in the order of the given SMILES."""
+    that the ``pick``-th fragment.  ``order``: the set ids in the order of the given SMILES.  A reaction
+    that ends in .rxn is a file, at the path that ``find`` gives; others are SMARTS."""
     try:
         from rdkit import Chem
         from rdkit.Chem import AllChem
@@ -201,7 +237,8 @@ def rdkit_runner(steps: list[Step], order: list[str], pick: int = 1) -> Callable
             if any(m is None for m in inputs):
                 return None
             for smarts in step.smarts:
-                products = AllChem.ReactionFromSmarts(smarts).RunReactants(inputs)
+                reaction = AllChem.ReactionFromRxnFile(find(smarts)) if smarts.endswith(".rxn") else AllChem.ReactionFromSmarts(smarts)
+                products = reaction.RunReactants(inputs)
                 if products:
                     last = products[0][0]
                     Chem.SanitizeMol(last)

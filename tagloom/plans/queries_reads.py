@@ -18,7 +18,7 @@ def collect_umis(spark, sf_dir):
 
 
 def umi_value_counts(spark, sf_dir):
-    return C.exploded(C.collect(decoded(spark, sf_dir), 5.0))
+    return C.umi_counts(decoded(spark, sf_dir), 5.0)
 
 
 def count_raw_dedup(spark, sf_dir):
@@ -34,7 +34,7 @@ def count_directional(spark, sf_dir):
 
 
 def count_compounds(spark, sf_dir):
-    return C.count_compounds(C.collect(decoded(spark, sf_dir, 5)), "directional", raw=True, dedup=True)
+    return C.count_umis(C.umi_counts(decoded(spark, sf_dir, 5)), "directional", raw=True, dedup=True)
 
 
 def umi_edges_hamming1(spark, sf_dir):
