@@ -70,6 +70,29 @@ def test_most_leaves_stay_closed():
     assert len(seen) < 8 and [s for s, _ in best] == sorted((data @ q).tolist(), reverse=True)[:5]
 
 
+def test_clustered_vectors_are_routed_to_few_shards(spark, monkeypatch):
+    """Queries go on to the shards alone that can hold one of their best; the result is that of all pairs."""
+    for name, v in (("SHARD", 50), ("BLOCK", 16), ("LEAF", 8), ("BOXES", 3)):
+        monkeypatch.setattr(kdtree, name, v)
+    r = np.random.default_rng(8)
+    rows = [(i, (r.normal(0, 2, 4) + 200 * np.eye(4)[i % 4] * (1 + i % 3)).astype(int).tolist()) for i in range(800)] + [(9000, [7, 7, 7, 7])] * 120
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    asked = df.where("vec_id % 50 = 0")
+    seen = []
+    monkeypatch.setattr(kdtree, "_meet", lambda trees, blocks, k, f=kdtree._meet: (seen.append((trees.count(), blocks.select("block", "cell", "chunk").distinct().count(), blocks.select("block").distinct().count())), f(trees, blocks, k))[1])
+    assert listed(kdtree.top_k(df, asked, 5)) == brute(rows, sorted({i for i, _ in rows if i % 50 == 0}), 5)
+    shards, met, n_blocks = seen[1]
+    assert shards >= 16 and met < 0.6 * shards * n_blocks
+
+
+def test_cells_are_those_of_the_splits():
+    data = np.random.default_rng(1).integers(-50, 50, (500, 3))
+    splits = kdtree.fit_cells(data, 8)
+    cells = kdtree.cell_of(data, splits)
+    assert len(splits) == 7 and {*cells.tolist()} == {*range(8)} and np.bincount(cells).max() < 100
+    assert kdtree.fit_cells(data, 1) == [] and not kdtree.cell_of(data, []).any()
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, 1.0]), (0, [0.5, 1.0]), (1, None), (2, [nan, 1.0]), (3, [inf, 0.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [-0.001, 2.0]), (6, [])]
