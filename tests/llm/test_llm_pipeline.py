@@ -39,3 +39,17 @@ def test_stages_take_effect(spark, tmp_path):
 def test_run_gives_the_last_stage(spark, sf):
     out = C.run(spark, sf)
     assert {"doc_id", "piece", "bucket", "batch", "slot"} <= {*out.columns} and out.count() > 0
+
+
+def test_stages_on_awkward_tables(spark, awkward, none, tmp_path):
+    """Nulls, repeated rows, missing ids, clashing columns and empty tables, through every stage."""
+    for n, docs in enumerate((awkward, none)):
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            out.write.parquet(f"{tmp_path}/{n}{name}")
+            if name == "near_dedup":
+                kept = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/{n}{name}").collect()]
+                assert len(kept) == len({*kept}) and ((None, "no id here, one two three four five") in kept) == (n == 0)
+            if name != "packing":
+                assert out.columns == C.COLUMNS
+                assert spark.read.parquet(f"{tmp_path}/{n}{name}").count() <= docs.count()
