@@ -157,6 +157,11 @@ def subset_reference_of(set_id: Column, subset: Column) -> Column:
     return F.when(subset.isNull(), set_id).otherwise(F.concat(set_id, F.lit(SUBSET), subset))
 
 
+def compound_id_of(library_id: Column, bb_ids: Column) -> Column:
+    """``Library.compound_id`` of a column of library ids and an array of building-block ids."""
+    return F.concat_ws("-", library_id, bb_ids)
+
+
 def subset_parts(reference: Column) -> tuple[Column, Column]:
     """Set and subset of a column of references; no subset: null."""
     parts = F.split(reference, SUBSET)

@@ -25,11 +25,16 @@ def trisynthon_overlap(cube: Cube, experiment: str, threshold: float = 0.0) -> D
     return regions(cube.data, cube.id_col, columns if len(columns) == 3 else columns[:2], threshold)
 
 
-def auto_threshold(df: DataFrame, columns: list[str], percentile: float = 90.0) -> float:
-    """A percentile of all positive finite values of several columns; 0 if there are none."""
+def threshold_of(df: DataFrame, columns: list[str], percentile: float = 90.0) -> DataFrame:
+    """``threshold``, one row: a percentile of all positive finite values of several columns; 0 if there are none."""
     value = F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")
-    at = df.select(value).where((F.col("v") > 0) & (F.col("v") < float("inf"))).agg(F.percentile("v", F.lit(percentile / 100)).alias("t")).first()[0]
-    return float(at or 0.0)
+    some = df.select(value).where((F.col("v") > 0) & (F.col("v") < float("inf")))
+    return some.agg(F.coalesce(F.percentile("v", F.lit(percentile / 100)), F.lit(0.0)).alias("threshold"))
+
+
+def auto_threshold(df: DataFrame, columns: list[str], percentile: float = 90.0) -> float:
+    """The value of ``threshold_of``."""
+    return float(threshold_of(df, columns, percentile).first()[0])
 
 
 def resolve_threshold(spec, experiment: str, df: DataFrame, columns: list[str]) -> float:

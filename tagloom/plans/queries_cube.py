@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import cube as K
 from tagloom.operators import overlap as O
+from tagloom.operators.library import compound_id_of
 from tagloom.operators.polyo import cutoffs, polyo
 from tagloom.plans.derive import INDEXES, LIB_SIZE, SQL_CUBE, cube, decoded, sql_decoded
 
@@ -91,8 +92,7 @@ def disynthon_overlap(spark, sf_dir):
 
 def overlap_auto_threshold(spark, sf_dir):
     c = cube(spark, sf_dir)
-    value = F.explode(F.array(*[F.col(x).cast("double") for x in INDEXES["expa"]])).alias("v")
-    return c.data.select(value).where("v > 0").agg(F.round(F.percentile("v", F.lit(0.9)), 6).alias("threshold"))
+    return O.threshold_of(c.data, INDEXES["expa"], 90.0).select(F.round("threshold", 6).alias("threshold"))
 
 
 def overlap_autocorr(spark, sf_dir):
@@ -127,7 +127,7 @@ def cubify_pivot(spark, sf_dir):
 
 
 def compound_id(spark, sf_dir):
-    return decoded(spark, sf_dir).select(F.concat_ws("-", "library_id", "bb_ids", F.col("overall_score").cast("int")).alias("compound_id")).groupBy("compound_id").agg(F.count("*").alias("n"))
+    return decoded(spark, sf_dir).select(compound_id_of(F.col("library_id"), F.array("bb_ids", F.col("overall_score").cast("int").cast("string"))).alias("compound_id")).groupBy("compound_id").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
