@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.stats import log_poisson, tail_start
 from tagloom.operators.cube import Cube, row_sum, split_ids, synthon_pairs
+from tagloom.session import cut
 
 
 def features_of(df: DataFrame, mode: str) -> list[str]:
@@ -26,10 +27,13 @@ def polyo(cube: Cube, mode: str = "disynthon", compat: bool = False, cutoff: flo
     raw: minus the sum of log10 Poisson probabilities over the feature's compounds; the rate is the
     experiment's total over the library size.  ``compat`` multiplies probabilities instead, whose
     underflow becomes 0.  score: raw over the base from the two cutoffs.
+
+    The cube is written once to the shared folder: totals and every feature read it from there,
+    instead of counting the reads again for each.
     """
     cube = split_ids(cube)
     keys = synthon_pairs(cube.data)
-    df = cube.data.withColumns(keys)
+    df = cut(cube.data.withColumns(keys))
     features = features_of(cube.data, mode)
     sums = {e: row_sum(c) for e, c in cube.indexes.items()}
     base = df
