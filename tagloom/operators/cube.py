@@ -239,14 +239,14 @@ def monosynthons(cube: Cube, cycle: str = "A", columns: list[str] | None = None)
 
 
 def top_and_sample(cube: Cube, value: Column, top: int, sample: int, seed: int = 42) -> DataFrame:
-    """The ``top`` best rows and ``sample`` of the rest in a reproducible random order; ``part`` tells which.
+    """The ``top`` best rows and ``sample`` of the rest in the order of md5("seed-id"); ``part`` tells which.
 
     Two bounded top-k steps: the rest is what an anti-join with the few best rows leaves.
     """
     scored = cube.data.withColumn("__v", value)
     best = scored.orderBy(F.desc("__v"), cube.id_col).limit(top)
     rest = scored.join(F.broadcast(best.select(cube.id_col)), cube.id_col, "left_anti")
-    drawn = rest.orderBy(F.xxhash64(F.lit(seed), cube.id_col), cube.id_col).limit(sample)
+    drawn = rest.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(cube.id_col).cast("string")).cast("binary")), cube.id_col).limit(sample)
     return best.withColumn("part", F.lit("top")).unionByName(drawn.withColumn("part", F.lit("sample"))).drop("__v")
 
 

@@ -200,6 +200,7 @@ SQL = {
     "top_compounds": f"{_W} SELECT DEL_ID, sa AS expa_sum FROM cube WHERE a1 > 0 AND a2 > 0 AND a3 > 0 ORDER BY sa DESC, DEL_ID LIMIT 20",
     "top_deltas": f"{_W} SELECT DEL_ID, sa AS value, CAST(ctrl AS DOUBLE) AS control, sa - ctrl AS delta FROM cube ORDER BY delta DESC, DEL_ID LIMIT 20",
     "spotfire": f"{_T} SELECT DEL_ID, ID_A, ID_B, ID_C, {', '.join(f'CAST({c} AS DOUBLE) AS {e}_{c}' for e, cs in INDEXES.items() for c in cs)}, {_per('{s} AS {e}_sum')}, {_per('round_even({s} / 3, 2) AS {e}_avg')}, ctrl, {_per(f'round_even({{s}} / ({{t}} / {_N}), 2) AS {{e}}_NSC')} FROM cube, t",
+    "sample_top_and_rest": f"{_W}, best AS (SELECT DEL_ID, a1, a2, a3 FROM cube ORDER BY sa DESC, DEL_ID LIMIT 50), rest AS (SELECT DEL_ID, a1, a2, a3 FROM cube WHERE DEL_ID NOT IN (SELECT DEL_ID FROM best) ORDER BY md5('42-' || DEL_ID), DEL_ID LIMIT 100) SELECT *, 'top' AS part FROM best UNION ALL SELECT *, 'sample' AS part FROM rest",
     "monosynthon_summary": f"{_W} SELECT ID_A, round(avg(sa), 6) AS mean_sum, count(*) AS n_compounds FROM cube GROUP BY ID_A",
     "cubify_pivot": f"WITH {sql_decoded()}, c AS (SELECT library_id, bb_ids || '-' || CAST(CAST(overall_score AS INTEGER) AS VARCHAR) AS DEL_ID, count(*) AS n FROM decoded GROUP BY ALL) SELECT DEL_ID, CAST(coalesce(sum(n) FILTER (library_id = 'A'), 0) AS BIGINT) AS A, CAST(coalesce(sum(n) FILTER (library_id = 'N'), 0) AS BIGINT) AS N, CAST(coalesce(sum(n) FILTER (library_id = 'R'), 0) AS BIGINT) AS R FROM c WHERE n >= 2 GROUP BY DEL_ID",
     "compound_id": f"WITH {sql_decoded()} SELECT library_id || '-' || bb_ids || '-' || CAST(CAST(overall_score AS INTEGER) AS VARCHAR) AS compound_id, count(*) AS n FROM decoded GROUP BY ALL",
