@@ -313,6 +313,7 @@ SQL = {
     "decode_faulty_statistics": f"WITH q AS ({_FAULTY}) {_COUNTED}",
     "enumerate_product": "WITH s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS a FROM supplier WHERE s_suppkey % 10 <> 3) SELECT 'LIB-' || a || '-n' || CAST(n_nationkey AS VARCHAR) || '-r' || CAST(r_regionkey AS VARCHAR) AS DEL_ID, 'LIB' AS LIB_ID, a AS BB1_ID, 'C' AS BB1_SMILES, 'n' || CAST(n_nationkey AS VARCHAR) AS BB2_ID, n_name AS BB2_SMILES, 'r' || CAST(r_regionkey AS VARCHAR) AS BB3_ID, r_name AS BB3_SMILES FROM s, nation, region",
     "enumeration_size": "SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 10 <> 3) * (SELECT count(*) FROM nation) * (SELECT count(*) FROM region) AS size",
+    "fingerprint_bits": "WITH t AS (SELECT p_partkey, coalesce(p_name, '') AS t, unnest([1, 2, 3]) AS n FROM part), g AS (SELECT p_partkey, t, n, unnest(range(1, greatest(length(t) - n + 1, 1) + 1)) AS i FROM t) SELECT p_partkey, CAST(count(DISTINCT CAST('0x' || substr(md5(substr(t, i, n)), 1, 8) AS BIGINT) % 256) AS DOUBLE) AS bits FROM g GROUP BY p_partkey",
     "null_block_filter": "SELECT p_brand AS subset_id, count(*) AS n FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1",
     "subset_reference": "SELECT p_partkey, p_type AS set_id, p_brand AS subset_id FROM part",
 }
