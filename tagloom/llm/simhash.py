@@ -271,7 +271,8 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more, exactly.
 
-    Sets are moved only for pairs whose sketches agree in enough of their minima.
+    Sets are joined to, and compared for, only pairs whose sketches agree in enough of their minima; the
+    joins still shuffle ``sets`` whole.
     """
     pairs = cut(likely(pairs, sets, least))
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
