@@ -131,6 +131,14 @@ def forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
+def grown(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: merged, never collected on the driver to be broadcast.
+
+    A few MB of Parquet are within Spark's broadcast threshold and many times that on the driver's heap.
+    """
+    return table.hint("merge")
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints; ``fps``: distinct longs ``fp``."""
     if threshold > 4:
@@ -140,7 +148,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     met = (
-        near.join(counts, "anchor")
+        near.join(grown(counts), "anchor")
         .select("anchor", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
         .groupBy("anchor", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         .agg(F.collect_list("fp").alias("fps"))
@@ -173,11 +181,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         hook = cut(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
         up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parent = cut(hook.join(up, "p").select("u", F.col("pp").alias("p")))
-        named = cut(nodes.join(parent, nodes["root"] == parent["u"], "left").select("node", F.coalesce("p", "root").alias("root")))
-        left = cut(edges.join(parent, "u").select(F.col("p").alias("pu"), "v"))
+        parent = cut(hook.join(grown(up), "p").select("u", F.col("pp").alias("p")))
+        named = cut(nodes.join(grown(parent), nodes["root"] == parent["u"], "left").select("node", F.coalesce("p", "root").alias("root")))
+        left = cut(edges.join(grown(parent), "u").select(F.col("p").alias("pu"), "v"))
         right = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        fewer = cut(left.join(right, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+        fewer = cut(left.join(grown(right), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
         for done in (hook, parent, left, nodes, edges):
             drop_cut(done)
         nodes, edges = named, fewer
@@ -258,7 +266,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """
     enough = (least - 0.2) * BANDS * MINIMA
     first, second = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}s")) for c in "ab")
-    met = pairs.join(first, "a").join(second, "b").select("a", "b", "as", "bs")
+    met = pairs.join(grown(first), "a").join(grown(second), "b").select("a", "b", "as", "bs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +284,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     pairs = cut(likely(pairs, sets, least))
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
-    met = pairs.join(first, "a").join(second, "b").select("a", "b", "as", "bs")
+    met = pairs.join(grown(first), "a").join(grown(second), "b").select("a", "b", "as", "bs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +299,7 @@ def _centres(left: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs (a, b) of one node of each band, whose nodes have different roots, with each other node of it."""
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"))
     centre = left.groupBy("band").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "c.*")
-    met = left.join(centre, "band").where("root <> ar").where(sizes_allow(F.col("an"), F.col("n"), least))
+    met = left.join(grown(centre), "band").where("root <> ar").where(sizes_allow(F.col("an"), F.col("n"), least))
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
@@ -304,7 +312,7 @@ def _all_pairs(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     of = left.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     of = of.select("band", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / SHINGLES)).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("node"), "chunks").cast("int")
-    member = left.join(of, "band").select("band", "node", "root", "chunks", mine.alias("mine")).join(sets.select("node", "shingles"), "node")
+    member = left.join(grown(of), "band").select("band", "node", "root", "chunks", mine.alias("mine")).join(grown(sets.select("node", "shingles")), "node")
     met = (
         member.select("band", "node", "root", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -355,10 +363,10 @@ def copy_links(docs: DataFrame, seen: DataFrame, least: float = JACCARD, k: int
     nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), a_row))
     near = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = near.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    left = cut(near.join(shared, "band").select("band", "node", "n", F.col("node").alias("root"), "m"))
-    of = cut(nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "sketch", "row.*"))
+    left = cut(near.join(grown(shared), "band").select("band", "node", "n", F.col("node").alias("root"), "m"))
+    of = cut(nodes.join(grown(left.select("node").distinct()), "node", "left_semi").select("node", "sketch", "row.*"))
     texts = docs.select("doc_id", "text", text_hash(docs).alias("text_hash"))
-    texts = texts.join(of, (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "sketch", "text")
+    texts = texts.join(grown(of), (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "sketch", "text")
     sets = cut(with_shingles(texts, k).dropDuplicates(["node"]))
     for done in (nodes, of):
         drop_cut(done)
@@ -368,7 +376,7 @@ def copy_links(docs: DataFrame, seen: DataFrame, least: float = JACCARD, k: int
         found = cut(found.union(new)) if found else new
         root = components(found).withColumnRenamed("node", "r")
         larger = left.where("m > 2").drop("root")
-        rooted = cut(larger.join(root, F.col("node") == F.col("r"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"), "m"))
+        rooted = cut(larger.join(grown(root), F.col("node") == F.col("r"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"), "m"))
         drop_cut(left)
         drop_cut(root)
         left = rooted
@@ -409,12 +417,12 @@ def _named(seen: DataFrame, edges: DataFrame) -> DataFrame:
     """``seen`` (doc_id, node, ...) with component_id and group."""
     distinct = cut(seen.groupBy("node").agg(F.min("doc_id").alias("least")))
     root = components(edges).withColumnRenamed("node", "of")
-    linked = cut(distinct.join(root, distinct["node"] == root["of"]).select("node", "root", "least"))
+    linked = cut(distinct.join(grown(root), distinct["node"] == root["of"]).select("node", "root", "least"))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    linked = cut(linked.join(least, "root").select(F.col("node").alias("of"), "root", "component_id"))
-    named = distinct.join(linked, distinct["node"] == linked["of"], "left")
+    linked = cut(linked.join(grown(least), "root").select(F.col("node").alias("of"), "root", "component_id"))
+    named = distinct.join(grown(linked), distinct["node"] == linked["of"], "left")
     named = cut(named.select("node", F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "node").alias("group")))
-    return seen.drop("bands", "sketch").join(named, "node")
+    return seen.drop("bands", "sketch").join(grown(named), "node")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -429,8 +437,8 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("text_hash").alias("__h"), "c")
     first = cut(rows.groupBy("group").agg(F.min(order).alias("w")).select("w.*").withColumns(keys).select(*keys, "__h", "c"))
     sent = docs.withColumns(keys | {"__h": text_hash(docs)})
-    single = sent.join(first.where("c = 1").drop("c"), [*keys, "__h"], "left_semi")
-    several = sent.join(first.where("c > 1").drop("c"), [*keys, "__h"], "left_semi").dropDuplicates([*keys, "__h"])
+    single = sent.join(grown(first.where("c = 1").drop("c")), [*keys, "__h"], "left_semi")
+    several = sent.join(grown(first.where("c > 1").drop("c")), [*keys, "__h"], "left_semi").dropDuplicates([*keys, "__h"])
     return single.union(several).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -54,6 +54,22 @@ def test_query_against_brute_force(spark, sf, documents):
     assert any(i != c for i, _, c in got)
 
 
+@pytest.mark.parametrize("ways", [{"bits": 4, "k": 4}, {}])
+def test_no_join_sends_a_table_to_the_driver(spark, documents, monkeypatch, ways):
+    """However high the threshold for broadcasts is: tables of nodes and links grow with the corpus."""
+    plans, write = [], simhash.cut
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(simhash, "cut", lambda df: (plans.append(plan(df)), write(df))[1])
+    docs = documents.select("doc_id", "text").limit(60)
+    found = simhash.near_duplicates(docs, **ways)
+    plans += [plan(found), plan(simhash.keep_one(docs, found))]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def near_words(r, n):
     """Fingerprints with many pairs at distances 0 to 8."""
     out = []
