@@ -39,6 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word Jaccard of 0.8 or more): that with the smallest id.
 
+    SimHash fingerprints and covering-code anchors, as in operator 5 but wider, give the candidates.
+
     Null texts are empty, and all texts without words are copies of each other.  Rows without an id come
     last in their group; of different texts under one id each group keeps its own.
     """

@@ -11,14 +11,17 @@ Fingerprints are compared per anchor; an anchor gives a spanning forest of its l
 pairs.  An anchor with many fingerprints is cut into chunks and every two chunks meet in a task of
 their own, so no link is lost and no group is unbounded.
 
-Near copies by the Jaccard similarity of their word shingles are found otherwise (``copy_links``): the
-shingle sets are compared exactly, for pairs that agree in one of 32 bands of 4 minima.
+Near copies by the Jaccard similarity of their word shingles (``copy_links``) differ in too many bits for
+that: at 0.8, in 15 % of them.  Their fingerprints are wider, 2,048 bits, cut into 128 blocks of 16.  A
+block's anchor is its nearest word of the perfect (15, 11) Hamming code beside the last bit as it is.
+Nodes that share an anchor of any block are compared by 192 bits, then by all bits, and the shingle sets
+of those that remain exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,18 @@ from tagloom.llm.common import as_bytes, map_columns
 from tagloom.session import cut, drop_cut
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
-#: Near copies: words of a shingle, least Jaccard similarity, bands and minima of a band.  A pair at 0.8
-#: agrees in no band with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, a closer pair with less.
-WORDS, JACCARD, BANDS, MINIMA = 5, 0.8, 32, 4
+#: Near copies: words of a shingle, least Jaccard similarity, 64-bit words of a wide fingerprint, its blocks.  Of
+#: a pair at 0.8 a bit differs with a chance of acos(8 / 9) / pi = 0.1515, so a block's anchors are equal with
+#: one of 0.1265 and none of 128 is with 3e-8; of the smallest such sets, of 4 and 5 shingles, with 3e-5.
+WORDS, JACCARD, WIDE = 5, 0.8, 32
+BLOCKS = 4 * WIDE
+#: Shares of the bits, over that chance, that may differ in the first 192 and in all bits; one node in so many is counted.
+FIRST, FIRST_OVER, ALL_OVER, SAMPLE = 3, 0.17, 0.1, 8
 #: Rounds of pairs with one centre of each band, before all pairs that are left.
 ROUNDS = 2
 #: Bytes of a text split at once; shingles whose bits are counted at once; fingerprints of a chunk, about;
-#: rows of its matrix compared at once; shingles of a chunk of sets, about; minima taken of so many at once.
-BYTES, HASHES, CHUNK, STRIP, SHINGLES, MINIMISED = 1 << 22, 1 << 16, 2048, 256, 1 << 19, 1 << 9
+#: rows of its matrix compared at once; shingles of a chunk of sets, about.
+BYTES, HASHES, CHUNK, STRIP, SHINGLES = 1 << 22, 1 << 16, 2048, 256, 1 << 19
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -115,20 +122,25 @@ def forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     near = np.empty((n, n), bool)
     for i in range(0, n, STRIP):
         near[i : i + STRIP] = np.bitwise_count((fps[i : i + STRIP, None] ^ fps[None, :]).view(np.uint64)) <= threshold
-    out, todo = [], np.ones(n, bool)
-    lonely = near.sum(axis=1) == 1
-    todo &= ~lonely
+    out = []
+    for group in connected(near):
+        members = np.sort(fps[group])
+        out += [(int(members[0]), int(m)) for m in members[1:]]
+    return out
+
+
+def connected(near: np.ndarray) -> Iterator[np.ndarray]:
+    """Masks of the connected groups of two members or more; ``near``: who is near whom, and oneself."""
+    todo = near.sum(axis=1) > 1
     while todo.any():
-        group = np.zeros(n, bool)
-        front = np.zeros(n, bool)
+        group = np.zeros(len(near), bool)
+        front = np.zeros(len(near), bool)
         front[np.argmax(todo)] = True
         while front.any():
             group |= front
             front = near[front].any(axis=0) & ~group
         todo &= ~group
-        members = np.sort(fps[group])
-        out += [(int(members[0]), int(m)) for m in members[1:]]
-    return out
+        yield group
 
 
 def grown(table: DataFrame) -> DataFrame:
@@ -197,22 +209,43 @@ def shingle_set(text: bytes, k: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, k)]))
 
 
-#: Odd multipliers: each orders the hashes anew.
-_TURNS = np.array([xxhash.xxh64_intdigest(b"turn%d" % i, SEED) | 1 for i in range(BANDS * MINIMA)], np.uint64)
+#: Each makes another word of the wide fingerprint of the same hashes.
+_TURNS = np.array([xxhash.xxh64_intdigest(b"turn%d" % i, SEED) for i in range(WIDE)], np.uint64)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least hash in each of the orders; of an empty set, the greatest number."""
-    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), MINIMISED):
-        least = np.minimum(least, (hashes[i : i + MINIMISED, None] * _TURNS).min(axis=0))
-    return least
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The blocks of 16 bits; as in ``fingerprint`` a bit is 1 if set in over half, here of hashes mixed anew for each word."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(hashes), 255):  # a count of so many fits a byte
+        z = hashes[i : i + 255, None] ^ _TURNS
+        for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            z ^= z >> np.uint64(33)
+            z *= np.uint64(odd)
+        z ^= z >> np.uint64(33)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view("<u2")
 
 
-def bands(least: np.ndarray) -> list[int]:
-    """A long for each band, equal where all its minima are."""
-    lines = least.astype("<u8").reshape(BANDS, MINIMA)
-    return np.array([xxhash.xxh64_intdigest(line.tobytes(), i) for i, line in enumerate(lines)], np.uint64).view(np.int64).tolist()
+def _code_words() -> np.ndarray:
+    """For each 16-bit word its nearest code word: the syndrome names the bit of the first 15 to flip."""
+    words = np.arange(1 << 16)
+    syndrome = np.zeros_like(words)
+    for at in range(1, 16):
+        syndrome ^= np.where(words >> (at - 1) & 1, at, 0)
+    return words ^ np.where(syndrome > 0, 1 << np.maximum(syndrome - 1, 0), 0)
+
+
+_CODE = _code_words()
+
+
+def block_anchors(blocks: np.ndarray) -> np.ndarray:
+    """block << 16 | code word for each block of each line."""
+    return _CODE[blocks] + (np.arange(BLOCKS) << 16)
+
+
+def differing(least: float) -> float:
+    """The share of bits in which two sets of one size at that Jaccard similarity differ on average."""
+    return float(np.arccos(2 * least / (1 + least)) / np.pi)
 
 
 def text_hash(docs: DataFrame, text: str = "text") -> Column:
@@ -221,19 +254,17 @@ def text_hash(docs: DataFrame, text: str = "text") -> Column:
 
 
 def with_nodes(docs: DataFrame, k: int = WORDS, fp: bool = False) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set), n (its size), bands and sketch (16 bits of
-    each of the minima) of every row; an empty set has no bands."""
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    """doc_id, text_hash, node (a hash of the shingle set), n (its size) and sketch (its wide
+    fingerprint) of every row."""
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())]
 
     def run(columns: list[pa.Array]) -> list[list]:
-        rows: list[list] = [[] for _ in range(4 + fp)]
+        rows: list[list] = [[] for _ in range(3 + fp)]
         for text in columns[0]:
             text = text.as_py()
             found = shingle_set(text, k)
             digest = xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED)
-            least = minima(found)
-            sketch = (least >> np.uint64(20)).astype("<u2").tobytes()
-            line = [int(np.uint64(digest).astype(np.int64)), len(found), bands(least) if len(found) else [], sketch, *([fingerprint(text)] if fp else [])]
+            line = [int(np.uint64(digest).astype(np.int64)), len(found), wide_fingerprint(found).tobytes(), *([fingerprint(text)] if fp else [])]
             for out, v in zip(rows, line):
                 out.append(v)
         return rows
@@ -260,18 +291,15 @@ def sizes_allow(a: Column, b: Column, least: float) -> Column:
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that agree in enough of their minima.
-
-    Of 128 minima a pair at 0.8 agrees in 102 on average; one in 10^8 such pairs in fewer than 60 %.
-    """
-    enough = (least - 0.2) * BANDS * MINIMA
+    """The pairs (a, b) whose wide fingerprints differ in few enough bits: at 0.8, in a quarter."""
+    most = (differing(least) + ALL_OVER) * 64 * WIDE
     first, second = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}s")) for c in "ab")
     met = pairs.join(grown(first), "a").join(grown(second), "b").select("a", "b", "as", "bs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BANDS * MINIMA) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WIDE) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most))
 
     return met.mapInArrow(run, "a bigint, b bigint")
 
@@ -279,7 +307,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more, exactly.
 
-    Sets are joined to, and compared for, only pairs whose sketches agree in enough of their minima; the
+    Sets are joined to, and compared for, only pairs whose sketches differ in few enough bits; the
     joins still shuffle ``sets`` whole.
     """
     pairs = cut(likely(pairs, sets, least))
@@ -295,6 +323,62 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
+def _anchored(nodes: DataFrame) -> DataFrame:
+    """anchor, node and the first 192 bits, a row for each block of each of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STRIP):
+                node, sketch = batch.slice(at, STRIP).columns
+                blocks = np.frombuffer(b"".join(sketch.to_pylist()), "<u2").reshape(-1, BLOCKS)
+                first = blocks[:, : 4 * FIRST].copy().view("<i8")
+                columns = [block_anchors(blocks).ravel(), *(np.repeat(x, BLOCKS) for x in (node.to_numpy(), *first.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "node", "f0", "f1", "f2"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "anchor bigint, node bigint, f0 bigint, f1 bigint, f2 bigint")
+
+
+def near_bands(nodes: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(band, node): a band is a connected group of nodes of one anchor whose first 192 bits differ in few enough.
+
+    An anchor with many nodes, by the count of a sample, is cut into chunks of which every two meet.  Rows are
+    sorted by anchor and pass by; a band is named by its nodes, so that one that several anchors give is one.
+    """
+    some = _anchored(nodes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
+    large = some.groupBy("anchor").agg((F.count("*") * SAMPLE).alias("m")).where(F.col("m") > CHUNK)
+    large = cut(large.select(F.col("anchor").alias("of"), F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
+    met = _anchored(nodes)
+    if not large.isEmpty():
+        mine = F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int")
+        met = met.join(grown(large), met["anchor"] == large["of"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        met = met.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+        key = F.struct("anchor", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        met = met.select(F.xxhash64(key).alias("anchor"), "node", "f0", "f1", "f2")
+    most = (differing(least) + FIRST_OVER) * 64 * FIRST
+
+    def bands(rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        bits, n = rows[:, 2:].view(np.uint64), len(rows)
+        near = np.empty((n, n), bool)
+        for i in range(0, n, STRIP):
+            near[i : i + STRIP] = np.bitwise_count(bits[i : i + STRIP, None] ^ bits[None]).sum(axis=2, dtype=np.uint8) <= most
+        if np.count_nonzero(near) == n:
+            return []
+        found = [np.sort(rows[group, 1]) for group in connected(near)]
+        return [(xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63), x) for x in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2 + FIRST), np.int64)
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            ends = [*(np.nonzero(np.diff(rows[:, 0]))[0] + 1).tolist(), *([len(rows)] if batch is None else [])]
+            made = [x for a, b in zip([0, *ends], ends) if b - a > 1 for x in bands(rows[a:b])]
+            held = rows[ends[-1] if ends else 0 :]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in made], [len(x[1]) for x in made]), pa.int64()), pa.array(np.concatenate([x[1] for x in made]), pa.int64())], names=["band", "node"])
+
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "band bigint, node bigint").distinct()
+
+
 def _centres(left: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs (a, b) of one node of each band, whose nodes have different roots, with each other node of it."""
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"))
@@ -360,15 +444,16 @@ def copy_links(docs: DataFrame, seen: DataFrame, least: float = JACCARD, k: int
     all nodes meet.  Only texts that share a band are moved, one for each node.
     """
     a_row = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("row")
-    nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), a_row))
-    near = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = near.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    left = cut(near.join(grown(shared), "band").select("band", "node", "n", F.col("node").alias("root"), "m"))
+    nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), a_row))
+    near = cut(near_bands(nodes.where("n > 0"), least))
+    shared = near.groupBy("band").agg(F.count("*").alias("m"))
+    left = near.join(grown(shared), "band").join(grown(nodes.select("node", "n")), "node")
+    left = cut(left.select("band", "node", "n", F.col("node").alias("root"), "m"))
     of = cut(nodes.join(grown(left.select("node").distinct()), "node", "left_semi").select("node", "sketch", "row.*"))
     texts = docs.select("doc_id", "text", text_hash(docs).alias("text_hash"))
     texts = texts.join(grown(of), (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "sketch", "text")
     sets = cut(with_shingles(texts, k).dropDuplicates(["node"]))
-    for done in (nodes, of):
+    for done in (near, nodes, of):
         drop_cut(done)
     found = None
     for turn in range(ROUNDS):
@@ -422,7 +507,7 @@ def _named(seen: DataFrame, edges: DataFrame) -> DataFrame:
     linked = cut(linked.join(grown(least), "root").select(F.col("node").alias("of"), "root", "component_id"))
     named = distinct.join(grown(linked), distinct["node"] == linked["of"], "left")
     named = cut(named.select("node", F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "node").alias("group")))
-    return seen.drop("bands", "sketch").join(grown(named), "node")
+    return seen.drop("sketch").join(grown(named), "node")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:

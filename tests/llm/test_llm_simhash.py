@@ -216,6 +216,43 @@ def test_near_copies_by_jaccard_against_all_pairs(spark, monkeypatch, chunk, rou
     assert sum((fps[i] ^ fps[c]).bit_count() > 4 for i, c in want.items()) > 20
 
 
+def test_block_anchors_are_the_nearest_code_words():
+    code = np.unique(simhash._CODE)
+    assert len(code) == 1 << 12
+    distance = np.bitwise_count(np.arange(1 << 16) ^ simhash._CODE)
+    assert distance.max() == 1 and (simhash._CODE[code] == code).all()
+    assert min((a ^ b).bit_count() for a in code[code < 1 << 15].tolist()[:64] for b in code[code < 1 << 15].tolist() if a != b) == 3
+
+
+def test_sets_at_the_least_jaccard_share_an_anchor():
+    """Pairs at 0.8, of small and large sets, meet at a SimHash anchor and pass both filters; sets apart do not pass."""
+    r = np.random.default_rng(3)
+    p = simhash.differing(0.8)
+    bits = lambda x: x.view("<u8")
+    for both, a, b in ((4, 0, 1), (8, 1, 1), (40, 5, 5), (40, 0, 10), (400, 50, 50)):
+        for _ in range(200):
+            h = r.integers(0, 1 << 64, both + a + b, dtype=np.uint64)
+            x, y = simhash.wide_fingerprint(h[: both + a]), simhash.wide_fingerprint(np.concatenate([h[:both], h[both + a :]]))
+            assert (simhash.block_anchors(x) == simhash.block_anchors(y)).any()
+            apart = np.bitwise_count(bits(x) ^ bits(y)).astype(int)
+            assert apart[: simhash.FIRST].sum() <= (p + simhash.FIRST_OVER) * 64 * simhash.FIRST and apart.sum() <= (p + simhash.ALL_OVER) * 2048
+            z = simhash.wide_fingerprint(r.integers(0, 1 << 64, both, dtype=np.uint64))
+            assert np.bitwise_count(bits(x) ^ bits(z)).astype(int).sum() > (p + simhash.ALL_OVER) * 2048
+
+
+def test_near_dedup_takes_its_candidates_from_the_anchors(spark, sf, documents, monkeypatch):
+    """Without an anchor in common no texts are compared: the fingerprints are the stage's only way to pairs."""
+    import corpus_pipeline as C
+
+    docs = documents.limit(80)
+    copies = docs.union(docs.withColumns({"doc_id": simhash.F.col("doc_id") + 10**6, "text": simhash.F.concat("text", simhash.F.lit(" more"))}))
+    copies = copies.where(simhash.F.size(simhash.F.split("text", " ")) > 30)
+    kept = {x.doc_id for x in C.near_dedup(spark, copies, sf).collect()}
+    assert kept and max(kept) < 10**6
+    monkeypatch.setattr(simhash, "near_bands", lambda nodes, least: nodes.select(simhash.F.col("node").alias("band"), "node").where("false"))
+    assert len({x.doc_id for x in C.near_dedup(spark, copies, sf).collect()}) == copies.select("text").distinct().count()
+
+
 def test_near_dedup_stage_against_all_pairs(spark, sf, documents):
     """The stage keeps the least id of every group of texts at 5-word Jaccard 0.8 or more."""
     import corpus_pipeline as C
