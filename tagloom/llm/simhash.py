@@ -15,12 +15,13 @@ Near copies by the Jaccard similarity of their word shingles (``copy_links``) di
 that: at 0.8, in 15 % of them.  Their fingerprints are wider, 2,048 bits, cut into 128 blocks of 16.  A
 block's anchor is its nearest word of the perfect (15, 11) Hamming code beside the last bit as it is.
 Nodes that share an anchor of any block are compared by 192 bits, then by all bits, and the shingle sets
-of those that remain exactly.
+of those that remain exactly.  The many anchors of a large group of near copies each give a part of it, so a
+node would meet another centre in each: such parts are merged into the one group that they connect to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -41,8 +42,8 @@ WORDS, JACCARD, WIDE = 5, 0.8, 32
 BLOCKS = 4 * WIDE
 #: Shares of the bits, over that chance, that may differ in the first 192 and in all bits; one node in so many is counted.
 FIRST, FIRST_OVER, ALL_OVER, SAMPLE = 3, 0.17, 0.1, 8
-#: Rounds of pairs with one centre of each band, before all pairs that are left.
-ROUNDS = 2
+#: Rounds of pairs with one centre of each band, before all pairs that are left; nodes of a connected group whose bands are merged in any case.
+ROUNDS, SMALL = 2, 64
 #: Bytes of a text split at once; shingles whose bits are counted at once; fingerprints of a chunk, about;
 #: rows of its matrix compared at once; shingles of a chunk of sets, about.
 BYTES, HASHES, CHUNK, STRIP, SHINGLES = 1 << 22, 1 << 16, 2048, 256, 1 << 19
@@ -286,6 +287,22 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
+def all_alike(sets: list[np.ndarray], least: float) -> Callable[[int], np.ndarray]:
+    """``alike`` of one of the sets, by its place, and each of them: shared hashes are counted by the lists of their holders."""
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders, starts = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")], np.cumsum(held) - held
+
+    def of(i: int) -> np.ndarray:
+        own = code[ends[i] - size[i] : ends[i]]
+        n = held[own]
+        both = np.bincount(holders[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        return both >= least * (size[i] + size - both) - 1e-9
+
+    return of
+
+
 def sizes_allow(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - 1e-9
 
@@ -338,8 +355,9 @@ def _anchored(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "anchor bigint, node bigint, f0 bigint, f1 bigint, f2 bigint")
 
 
-def near_bands(nodes: DataFrame, least: float = JACCARD) -> DataFrame:
-    """(band, node): a band is a connected group of nodes of one anchor whose first 192 bits differ in few enough.
+def _anchor_bands(nodes: DataFrame, least: float) -> DataFrame:
+    """(band, node, low, m): a band is a connected group of nodes of one anchor whose first 192 bits differ in few
+    enough, low its least node and m their number.
 
     An anchor with many nodes, by the count of a sample, is cut into chunks of which every two meet.  Rows are
     sorted by anchor and pass by; a band is named by its nodes, so that one that several anchors give is one.
@@ -374,31 +392,63 @@ def near_bands(nodes: DataFrame, least: float = JACCARD) -> DataFrame:
             made = [x for a, b in zip([0, *ends], ends) if b - a > 1 for x in bands(rows[a:b])]
             held = rows[ends[-1] if ends else 0 :]
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in made], [len(x[1]) for x in made]), pa.int64()), pa.array(np.concatenate([x[1] for x in made]), pa.int64())], names=["band", "node"])
+                m = [len(x[1]) for x in made]
+                columns = [np.repeat([x[0] for x in made], m), np.concatenate([x[1] for x in made]), np.repeat([x[1][0] for x in made], m), np.repeat(m, m)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["band", "node", "low", "m"])
+
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "band bigint, node bigint, low bigint, m bigint").distinct()
 
-    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "band bigint, node bigint").distinct()
+
+def near_bands(nodes: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(band, node): bands that hold all pairs of nodes of one anchor whose first 192 bits differ in few enough.
+
+    A large group of near copies has other bands at each of its anchors, up to 128 for a node.  Bands that
+    connect are merged into one if it has no more pairs than they have, or few nodes; else they stay.
+    """
+    near = cut(_anchor_bands(nodes, least))
+    lows = near.groupBy("node").agg(F.collect_set("low").alias("lows"))
+    # a node's bands meet in the least of their names: fewer edges than one from each node to each name
+    edges = lows.select(F.array_min("lows").alias("a"), F.explode(F.array_union("lows", F.array("node"))).alias("b")).where("a <> b")
+    root = cut(components(edges.distinct()))
+    pairs = near.groupBy("low").agg(F.sum("m").alias("pairs")).withColumnRenamed("low", "node")
+    sizes = root.join(grown(pairs), "node", "left").groupBy("root").agg(F.count("*").alias("m"), F.sum("pairs").alias("pairs"))
+    large = cut(sizes.where((F.col("m") > SMALL) & (F.col("m") * F.col("m") > F.col("pairs"))).select("root"))
+    made = root.select(F.col("root").alias("band"), "node")
+    if not large.isEmpty():
+        stay = cut(root.join(grown(large), "root", "left_semi").select("node"))
+        made = made.join(grown(stay), "node", "left_anti").select("band", "node").union(near.join(grown(stay), "node", "left_semi").select("band", "node"))
+    made = cut(made)
+    for done in (near, root, large):
+        drop_cut(done)
+    return made
 
 
 def _centres(left: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs (a, b) of one node of each band, whose nodes have different roots, with each other node of it."""
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"))
     centre = left.groupBy("band").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "c.*")
-    met = left.join(grown(centre), "band").where("root <> ar").where(sizes_allow(F.col("an"), F.col("n"), least))
+    met = left.join(grown(cut(centre)), "band").where("root <> ar").where(sizes_allow(F.col("an"), F.col("n"), least))
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def _all_pairs(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links between all nodes of a band with different roots, but for those that others connect.
 
-    A band is cut into chunks by the number of its nodes and of their shingles; every two meet in a
-    task, with the sets, and give the links of a spanning forest.
+    A band is cut into chunks by the number of its nodes and of their shingles, those of its most frequent
+    root apart: two of these never meet, every other two do, in a task, with the sets, and give the links of
+    a spanning forest.
     """
-    of = left.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    of = of.select("band", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / SHINGLES)).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("node"), "chunks").cast("int")
-    member = left.join(grown(of), "band").select("band", "node", "root", "chunks", mine.alias("mine")).join(grown(sets.select("node", "shingles")), "node")
+    of = left.groupBy("band", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s")).groupBy("band")
+    of = of.agg(F.max(F.struct("m", "s", "root")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("roots")).where("roots > 1")
+    chunks = lambda m, s: F.greatest(F.ceil(m / CHUNK), F.ceil(s / SHINGLES)).cast("int")
+    of = of.select("band", F.col("main.root").alias("main"), chunks(F.col("main.m"), F.col("main.s")).alias("first"), chunks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("others"))
+    is_main, last = F.col("root") == F.col("main"), F.col("first") + F.col("others") - 1
+    mine = F.when(is_main, F.pmod(F.xxhash64("node"), "first")).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), "others")).cast("int")
+    meets = F.when(is_main, F.sequence("first", last)).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("mine")))
+    member = left.join(grown(cut(of)), "band").withColumn("mine", mine).select("band", "node", "root", "mine", meets.alias("meets"))
     met = (
-        member.select("band", "node", "root", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        member.join(grown(sets.select("node", "shingles")), "node")
+        .select("band", "node", "root", "shingles", "mine", F.explode("meets").alias("other"))
         .groupBy("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         .agg(F.collect_list(F.struct("node", "root", "shingles")).alias("rows"))
         .where(F.size("rows") > 1)
@@ -415,13 +465,13 @@ def _all_pairs(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 up[x] = x = up[up[x]]
             return x
 
-        by_size = sorted(range(len(node)), key=lambda i: len(sets[i]))
-        for k, i in enumerate(by_size):
-            for j in by_size[k + 1 :]:
-                if len(sets[i]) < least * len(sets[j]) - 1e-9:
-                    break
+        alike_to = all_alike(sets, least)
+        _, kind, often = np.unique(np.array(root, np.int64), return_inverse=True, return_counts=True)
+        for i in np.nonzero(kind != np.argmax(often))[0].tolist():
+            near = np.nonzero(alike_to(i))[0]
+            for j in near[np.unique(kind[near], return_index=True)[1]].tolist():
                 a, b = top(root[i]), top(root[j])
-                if a != b and alike(sets[i], sets[j], least):
+                if a != b:
                     up[a] = b
                     out.append((node[i], node[j]))
         return out
@@ -446,14 +496,14 @@ def copy_links(docs: DataFrame, seen: DataFrame, least: float = JACCARD, k: int
     a_row = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("row")
     nodes = cut(seen.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), a_row))
     near = cut(near_bands(nodes.where("n > 0"), least))
-    shared = near.groupBy("band").agg(F.count("*").alias("m"))
+    shared = cut(near.groupBy("band").agg(F.count("*").alias("m")))
     left = near.join(grown(shared), "band").join(grown(nodes.select("node", "n")), "node")
     left = cut(left.select("band", "node", "n", F.col("node").alias("root"), "m"))
     of = cut(nodes.join(grown(left.select("node").distinct()), "node", "left_semi").select("node", "sketch", "row.*"))
     texts = docs.select("doc_id", "text", text_hash(docs).alias("text_hash"))
     texts = texts.join(grown(of), (texts["text_hash"] == of["text_hash"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("node", "sketch", "text")
     sets = cut(with_shingles(texts, k).dropDuplicates(["node"]))
-    for done in (near, nodes, of):
+    for done in (near, shared, nodes, of):
         drop_cut(done)
     found = None
     for turn in range(ROUNDS):

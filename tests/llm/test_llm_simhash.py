@@ -216,6 +216,50 @@ def test_near_copies_by_jaccard_against_all_pairs(spark, monkeypatch, chunk, rou
     assert sum((fps[i] ^ fps[c]).bit_count() > 4 for i, c in want.items()) > 20
 
 
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch, chunk):
+    """Copies of one text, by pairs from far below to far above 0.8: a node meets one centre a round, not one at each of its anchors."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    counts, compare = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *a: (counts.append(pairs.count()), compare(pairs, *a))[1])
+    r = random.Random(6)
+    base = ["w%d" % r.randint(0, 9999) for _ in range(150)]
+    rows = [(i, " ".join(edited(r, base, r.choice([1, 1, 2, 2, 3, 8])))) for i in range(150)]
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    assert got == jaccard_components(plain_sets(rows)) and 1 < len({*got.values()}) < 75
+    assert len(counts) == simhash.ROUNDS and max(counts) < len(rows)
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_chains_keep_their_bands(spark, monkeypatch, small):
+    """Nodes that connect over many steps are not all compared, the pairs that share an anchor still are."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    bands, make = [], simhash.near_bands
+    monkeypatch.setattr(simhash, "near_bands", lambda *a: (bands.append(simhash.cut(make(*a))), bands[0])[1])
+    r = random.Random(8)
+    texts = [["w%d" % r.randint(0, 9999) for _ in range(200)]]
+    for _ in range(150):
+        texts.append(edited(r, texts[-1], r.randint(2, 6)))
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    monkeypatch.setattr(simhash, "drop_cut", lambda df: None)
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    assert got == jaccard_components(plain_sets(rows)) and 1 < len({*got.values()}) < 75
+    sizes = [x["count"] for x in bands[0].groupBy("band").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 75, (len(sizes), max(sizes))
+
+
+def test_shared_hashes_by_lists_of_holders():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 40), dtype=np.uint64)) for _ in range(60)]
+    sets += [sets[3].copy(), np.arange(100, 104, dtype=np.uint64), np.arange(100, 105, dtype=np.uint64)]
+    of = simhash.all_alike(sets, 0.8)
+    for i, x in enumerate(sets):
+        assert of(i).tolist() == [simhash.alike(x, y, 0.8) for y in sets]
+    assert of(61)[62] and of(3)[60]
+
+
 def test_block_anchors_are_the_nearest_code_words():
     code = np.unique(simhash._CODE)
     assert len(code) == 1 << 12
