@@ -15,13 +15,16 @@ from tagloom.operators.cube import Cube, row_mean
 
 def hashed_fingerprint(smiles: Column, bits: int = 256, size: int = 3) -> Column:
     """A bit array of hashed character n-grams up to ``size``; what stands in for circular
-    fingerprints where RDKit is not installed.  A gram's bit: the first 32 of its md5, modulo ``bits``."""
+    fingerprints where RDKit is not installed.  A gram's bit: the first 32 of its md5, modulo ``bits``.
+
+    The slots are the variable of an outer lambda, so that they are made once a row and not once a bit."""
     text = F.coalesce(smiles, F.lit(""))
     grams = []
     for n in range(1, size + 1):
         grams.append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), _gram(text, n)))
     slots = F.array_distinct(F.transform(F.flatten(F.array(*grams)), lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long") % bits))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.array_contains(slots, b.cast("long")).cast("double"))
+    places = F.array(*[F.lit(b).cast("long") for b in range(bits)])
+    return F.transform(F.array(slots), lambda s: F.transform(places, lambda b: F.array_contains(s, b).cast("double")))[0]
 
 
 def _gram(text: Column, n: int):

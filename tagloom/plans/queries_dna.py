@@ -10,7 +10,7 @@ from tagloom.operators.decode import Decoder, Settings, as_lines, decode, length
 from tagloom.operators.enumerate import members, sizes
 from tagloom.operators.library import Block, BlockSet, Library, Schema, is_null_block, make_section, subset_parts, subset_reference_of
 from tagloom.plans.derive import sql_dna
-from tagloom.session import table
+from tagloom.session import spread, table
 
 
 def revcomp(spark, sf_dir):
@@ -258,7 +258,7 @@ def rf_classifier(spark, sf_dir):
 def fingerprint_bits(spark, sf_dir):
     from tagloom.operators.ml import hashed_fingerprint
 
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
     return p.select("p_partkey", F.aggregate(hashed_fingerprint(F.col("p_name")), F.lit(0.0), lambda a, x: a + x).alias("bits"))
 
 

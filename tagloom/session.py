@@ -70,9 +70,18 @@ def clear_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out row by row, for work that is heavy for its bytes.
+
+    A scan has at most as many tasks as its file has row groups, often one for a million rows.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, by Spark's own readers so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["clear_cuts", "cut", "drop_cut", "local_session", "shared_dir", "table"]
+__all__ = ["clear_cuts", "cut", "drop_cut", "local_session", "shared_dir", "spread", "table"]
