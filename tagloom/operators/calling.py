@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.dna import BASES, hamming_neighbours, levenshtein_neighbours, windows
+from tagloom.session import cut, spread
 
 AMBIGUOUS = object()
 
@@ -154,18 +155,20 @@ def lookup_table(tags: DataFrame, ring: Callable[[Column], Column] = hamming_rin
     """(observed, item, distance): the unique item at the least distance; ambiguous ones are left out.
 
     ``tags``: tag, item.  What is within ``distance`` is reached by as many steps of the ``ring`` of
-    distance one; each step goes on from what is new.  One shuffle on item and observed tag a step
-    beyond the first, and one on the observed tag; items combine before it.
+    distance one.  Items at distance d + 1 from a string, if none is nearer, are those at d from its
+    neighbours of least distance d; so each string keeps the least and the greatest of its nearest
+    items alone, and a step goes on from strings that are new.  Items of one tag combine first: a step
+    costs what the distinct strings cost, however many items share them.  Strings are dealt out before
+    each step, as rings are heavy for their bytes, and steps before the last are written once.
     """
-    near = tags.select("item", F.col("tag").alias("observed"), F.lit(0).alias("distance"))
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    known = tags.groupBy(F.col("tag").alias("observed")).agg(F.min("item").alias("lo"), F.max("item").alias("hi")).withColumn("distance", F.lit(0))
     for step in range(distance):
-        further = near.where(F.col("distance") == step).select("item", F.explode(ring(F.col("observed"))).alias("x")).where("x.distance = 1")
-        near = near.union(further.select("item", F.col("x.tag").alias("observed"), F.lit(step + 1).alias("distance")))
-        if step + 1 < distance:
-            near = near.groupBy("item", "observed").agg(F.min("distance").alias("distance"))
-    least = near.groupBy("observed").agg(F.min(F.struct("distance", "item")).alias("lo"), F.max(F.struct(-F.col("distance"), "item")).alias("hi"))
-    unique = F.col("lo.item") == F.col("hi.item")
-    return least.where(unique).select("observed", F.col("lo.item").alias("item"), F.col("lo.distance").alias("distance"))
+        known = cut(known) if step else known
+        further = spread(known.where(F.col("distance") == step)).select(F.explode(ring(F.col("observed"))).alias("x"), "lo", "hi").where("x.distance = 1")
+        further = further.groupBy(F.col("x.tag").alias("observed")).agg(*ends).withColumn("distance", F.lit(step + 1))
+        known = known.union(further.join(known.hint("merge"), "observed", "left_anti"))
+    return known.where("lo = hi").select("observed", F.col("lo").alias("item"), "distance")
 
 
 def search_windows(reads: DataFrame, lookup: DataFrame, key: str, read: str, length: int) -> DataFrame:
@@ -178,9 +181,9 @@ def search_windows(reads: DataFrame, lookup: DataFrame, key: str, read: str, len
 
 
 def call_tags(observed: DataFrame, lookup: DataFrame, tag: str = "tag") -> DataFrame:
-    """``observed`` with item and distance, null where there is no call.  Catalyst broadcasts the
-    lookup if it is small and shuffles both sides on the tag if not."""
-    return observed.join(lookup, observed[tag] == lookup["observed"], "left").drop("observed")
+    """``observed`` with item and distance, null where there is no call.  Both sides are shuffled on the
+    tag: a lookup has many more rows than its tags' file lets Catalyst expect, so it is never broadcast."""
+    return observed.join(lookup.hint("merge"), observed[tag] == lookup["observed"], "left").drop("observed")
 
 
 def min_levenshtein(tags: DataFrame) -> int | None:

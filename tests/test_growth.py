@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tagloom.operators import calling as C
 from tagloom.session import spread
 
 
@@ -29,3 +30,22 @@ def test_spread_deals_rows_out(spark):
     one = spark.range(1000).coalesce(1)
     sizes = spread(one).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 1000
+
+
+def test_rings_are_made_of_distinct_tags(spark):
+    """Items that share a tag are one before the ring is made; their string is no call, its neighbours none."""
+    rows = [("ACGT", 1), ("ACGT", 2), ("TTTT", 3), ("TTTT", 3), ("TTAA", 4), (None, 5)]
+    tags = spark.createDataFrame(rows, "tag string, item int")
+    table = C.lookup_table(tags)
+    below = plan_of(table).split("Generate")[1:]
+    assert below and all("Aggregate" in b.split("LocalRelation")[0].split("LogicalRDD")[0] for b in below)
+    for distance in (1, 2):
+        found = {r["observed"]: (r["item"], r["distance"]) for r in C.lookup_table(tags, C.hamming_ring, distance).where("observed is not null").collect()}
+        want = {}
+        for s in {o for t, _ in rows if t for o, _ in C.hamming_neighbours(t, distance)}:
+            near = [(sum(a != b for a, b in zip(s, t)), i) for t, i in rows if t]
+            low = min(near)[0]
+            items = {i for d, i in near if d == low}
+            if len(items) == 1:
+                want[s] = (items.pop(), low)
+        assert found == want
