@@ -173,11 +173,12 @@ def lookup_table(tags: DataFrame, ring: Callable[[Column], Column] = hamming_rin
 
 def search_windows(reads: DataFrame, lookup: DataFrame, key: str, read: str, length: int) -> DataFrame:
     """``search_all`` as a join: (key, item, distance) of every read, null unless one window alone has
-    the least distance.  The windows of a read are few, and counted before they are moved by its key."""
-    called = reads.select(key, F.explode(windows(F.col(read), length)).alias("observed")).join(lookup, "observed")
+    the least distance.  The windows of a read are few, and counted before they are moved by its key.
+    No side is broadcast: Catalyst takes the windows for no more than the column they come from."""
+    called = spread(reads.select(key, read)).select(key, F.explode(windows(F.col(read), length)).alias("observed")).join(lookup.hint("merge"), "observed")
     per = called.groupBy(key, "distance").agg(F.count("*").alias("n"), F.min("item").alias("item"))
     best = per.groupBy(key).agg(F.min(F.struct("distance", "n", "item")).alias("best")).where("best.n = 1").select(key, "best.item", "best.distance")
-    return reads.select(key).join(best, key, "left")
+    return reads.select(key).join(best.hint("merge"), key, "left")
 
 
 def call_tags(observed: DataFrame, lookup: DataFrame, tag: str = "tag") -> DataFrame:

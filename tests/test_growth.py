@@ -49,3 +49,13 @@ def test_rings_are_made_of_distinct_tags(spark):
             if len(items) == 1:
                 want[s] = (items.pop(), low)
         assert found == want
+
+
+def test_no_join_of_tags_or_windows_is_broadcast(spark):
+    tags = spark.createDataFrame([("ACGT", 1), ("TTTT", 2)], "tag string, item int")
+    reads = spark.createDataFrame([(1, "GGACGTCC"), (2, "ACGTTTTT"), (3, "CCCC")], "i int, read string")
+    windowed = C.search_windows(reads, C.lookup_table(tags, distance=0), "i", "read", 4)
+    called = C.call_tags(reads.withColumnRenamed("read", "tag"), C.lookup_table(tags))
+    for df in (windowed, called):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["i"]: r["item"] for r in windowed.collect()} == {1: 1, 2: None, 3: None}
