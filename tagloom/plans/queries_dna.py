@@ -118,7 +118,7 @@ def _reads(df, name, lib, one, two, three, turned):
 
 def synthetic_reads(spark, sf_dir):
     """A read for each line item: library and blocks from its keys, the UMI from the order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     return _reads(li, F.concat_ws(":", "l_orderkey", "l_linenumber"), "l_linenumber", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey")
 
 
@@ -135,7 +135,7 @@ def faulty_reads(spark, sf_dir):
     """A read for each line item with a fault by its order: none; a base of the last block's tag set; cut
     short; repeated; an N in the UMI; a base of the library's tag set; a library's tag that is none; no
     primer; no room for the UMI; a base before the primer; a wrong and a missing base in the primer."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     tags = F.array(*[F.lit(t) for t in LIBRARIES[0].sets[0].tags])
     pick = lambda c: F.element_at(tags, (F.col(c) % 10 + 1).cast("int"))
     base = F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), (F.col("l_partkey") % 4 + 1).cast("int"))

@@ -1,11 +1,15 @@
 """What has to stay bounded, or in proportion, as the tables grow."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from tagloom.operators import align as A
 from tagloom.operators import calling as C
+from tagloom.operators import demux as M
+from tagloom.plans.queries_dna import LIBRARIES
 from tagloom.session import spread
 
 
@@ -59,3 +63,39 @@ def test_no_join_of_tags_or_windows_is_broadcast(spark):
     for df in (windowed, called):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r["i"]: r["item"] for r in windowed.collect()} == {1: 1, 2: None, 3: None}
+
+
+def faulty(rng: random.Random, text: str, faults: int) -> str:
+    """``text`` with wrong, missing and added bases, at times cut at its ends."""
+    out = list(text)
+    for _ in range(faults):
+        at = rng.randrange(len(out))
+        out[at : at + rng.choice([0, 1, 1, 1])] = rng.choice(["", *"ACGTN"])
+    return "".join(out)[rng.choice([0, 0, 0, 2, 9]) :][: rng.choice([200, 200, 85])]
+
+
+def test_alignments_of_many_are_those_of_each():
+    rng = random.Random(1)
+    for layout in ("ACGTTNNNNGATTACANN", "NNACGNT", "GATTACAGATTACA", "NNN"):
+        plain = [layout.replace("N", rng.choice("ACGT")) for _ in range(30)]
+        reads = [faulty(rng, "".join(rng.choices("ACGT", k=rng.randrange(9))) + p, rng.randrange(5)) or "A" for p in plain]
+        assert A.align_many(reads, layout, 7) == [A.align(r, layout) for r in reads]
+
+
+def test_full_demultiplexing_aligns_no_more_than_it_must(monkeypatch):
+    """Whole reads are not aligned at all, faulty ones only where a bound leaves it open; places stay."""
+    rng = random.Random(2)
+    demux = M.Demultiplexer(LIBRARIES, "full", revcomp=True)
+    whole = [re.sub("N", lambda _: rng.choice("ACGT"), M.layout_of(rng.choice(LIBRARIES).schema)) for _ in range(24)]
+    whole[::3] = [r[::-1].translate(M.COMPLEMENT) for r in whole[::3]]
+    reads = [*whole, *[faulty(rng, r, rng.randrange(1, 6)) for r in whole]]
+    aligned = []
+    monkeypatch.setattr(M, "align_many", lambda some, layout: aligned.extend(some) or A.align_many(some, layout))
+    found = demux.many(reads)
+    assert 0 < len(aligned) < 2 * len(whole)
+    for read, made in zip(reads, found):
+        texts = [read, read[::-1].translate(M.COMPLEMENT)]
+        scored = [(A.align(t, M.layout_of(lib.schema)), t, lib, t is texts[1]) for t in texts for lib in LIBRARIES]
+        (_, places), text, lib, flipped = max(scored, key=lambda s: s[0][0])
+        assert (made.library, made.read, made.flipped, made.candidates) == (lib, text, flipped, [M.spans_at(lib.schema, places)])
+        assert all(layout.bound(t) >= A.align(t, layout.text)[0] for t in texts for layout in demux.layouts)
