@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import align as A
 from tagloom.operators import calling as C
 from tagloom.operators import demux as M
+from tagloom.operators.decode import Decoder, Settings, decode, statistics
 from tagloom.plans.queries_dna import LIBRARIES
 from tagloom.session import spread
 
@@ -99,3 +100,23 @@ def test_full_demultiplexing_aligns_no_more_than_it_must(monkeypatch):
         (_, places), text, lib, flipped = max(scored, key=lambda s: s[0][0])
         assert (made.library, made.read, made.flipped, made.candidates) == (lib, text, flipped, [M.spans_at(lib.schema, places)])
         assert all(layout.bound(t) >= A.align(t, layout.text)[0] for t in texts for layout in demux.layouts)
+
+
+def read_of(lib, umi: str) -> str:
+    return M.layout_of(lib.schema).replace("N" * 8, umi).replace("NNNNNN", "CATGCA")
+
+
+def turned(read: str) -> str:
+    return read[::-1].translate(M.COMPLEMENT)
+
+
+def test_statistics_decode_reads_once(spark):
+    decoder = Decoder(LIBRARIES, settings=Settings(revcomp=False))
+    rows = [(read_of(LIBRARIES[0], "ACGTACGT"),), (read_of(LIBRARIES[1], "ACGTACGT"),), ("A",), (None,), ("C" * 93,)]
+    counted = statistics(decode(spark.createDataFrame(rows, "sequence string"), decoder))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in counted.collect()} == {
+        ("num_seqs_read", None, 5), ("num_seqs_decoded", "L1", 1), ("num_seqs_decoded", "L2", 1), ("num_failed_ReadTooShort", None, 2), ("num_failed_FailedStaticAlignment", None, 1),
+    }
+    none = statistics(decode(spark.createDataFrame([], "sequence string"), decoder))
+    assert [tuple(r) for r in none.collect()] == [("num_seqs_read", None, 0)]
