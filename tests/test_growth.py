@@ -110,6 +110,13 @@ def turned(read: str) -> str:
     return read[::-1].translate(M.COMPLEMENT)
 
 
+def test_end_of_a_primer_in_a_turned_umi_hides_no_read():
+    """The turned UMI is the last eight bases of the primer, which the whole primer outweighs."""
+    decoder = Decoder(LIBRARIES, settings=Settings(demultiplexer_algorithm="cutadapt", revcomp=True))
+    status, _, library, *_, umi, _, flipped = decoder(turned(read_of(LIBRARIES[1], "CGAATCTA")))
+    assert (status, library, umi, flipped) == ("OK", "L2", "CGAATCTA", True)
+
+
 def test_statistics_decode_reads_once(spark):
     decoder = Decoder(LIBRARIES, settings=Settings(revcomp=False))
     rows = [(read_of(LIBRARIES[0], "ACGTACGT"),), (read_of(LIBRARIES[1], "ACGTACGT"),), ("A",), (None,), ("C" * 93,)]
