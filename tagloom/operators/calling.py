@@ -22,6 +22,19 @@ class Call:
     score: float
 
 
+class Memo(dict):
+    """What was worked out, by argument: a bounded number, and empty where it is sent to executors."""
+
+    def keep(self, key, value, most: int = 1 << 16):
+        if len(self) >= most:
+            self.clear()
+        self[key] = value
+        return value
+
+    def __reduce__(self):
+        return Memo, ()
+
+
 class Caller:
     """A map from observed tags to calls; ``AMBIGUOUS`` marks ties, None is a miss."""
 

@@ -127,3 +127,22 @@ def test_statistics_decode_reads_once(spark):
     }
     none = statistics(decode(spark.createDataFrame([], "sequence string"), decoder))
     assert [tuple(r) for r in none.collect()] == [("num_seqs_read", None, 0)]
+
+
+def test_only_reads_with_a_fault_in_a_section_are_searched_with_faults():
+    rng = random.Random(3)
+    for mode in ("single", "flanking", "library"):
+        for q in M.Demultiplexer(LIBRARIES, mode, revcomp=True).queries:
+            whole = [read_of(LIBRARIES[i % 2], "".join(rng.choices("ACGT", k=8))) for i in range(40)]
+            reads = [*whole, *map(turned, whole), *[faulty(rng, r, rng.randrange(1, 4)) for r in whole * 5]]
+            pattern, searched = q.compiled, []
+            want = [m and (sum(m.fuzzy_counts), {n: m.span(n) for n in q.names}) for m in map(pattern.search, reads)]
+
+            class Counting:
+                def search(self, read):
+                    searched.append(read)
+                    return pattern.search(read)
+
+            q.compiled = Counting()
+            assert [q.search(r) for r in reads] == want
+            assert len(searched) < len(reads) / 2
