@@ -36,8 +36,13 @@ def quality_filter(spark, sf_dir):
 
 
 def tag_windows(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.explode(D.windows(D.md5_dna(F.col("p_partkey"), 12), 8)).alias("window")).groupBy("p_partkey", F.length("window").alias("size")).agg(F.count("*").alias("n"), F.min("window").alias("least"))
+    """Number and least of a part's windows of each size.  Rows of one part have the same windows: they
+    are counted first, and the windows of a part are seen within its row."""
+    p = spread(table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.count("*").alias("rows")))
+    seen = p.select("p_partkey", "rows", D.windows(D.md5_dna(F.col("p_partkey"), 12), 8).alias("w"))
+    of = lambda size: F.filter("w", lambda x: F.length(x) == size)
+    sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), of(n).alias("w")) for n in (7, 8, 9)])).alias("x")
+    return seen.select("p_partkey", "rows", sizes).where(F.size("x.w") > 0).select("p_partkey", "x.size", (F.col("rows") * F.size("x.w")).alias("n"), F.array_min("x.w").alias("least"))
 
 
 def read_length_status(spark, sf_dir):

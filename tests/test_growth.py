@@ -146,3 +146,20 @@ def test_only_reads_with_a_fault_in_a_section_are_searched_with_faults():
             q.compiled = Counting()
             assert [q.search(r) for r in reads] == want
             assert len(searched) < len(reads) / 2
+
+
+def test_windows_of_a_part_are_not_sorted(spark, tmp_path):
+    """Windows are seen within the part's row: no aggregate takes them in, and repeated rows count."""
+    from tagloom.plans.queries_dna import tag_windows
+
+    spark.createDataFrame([(1,), (2,), (2,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    df = tag_windows(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Aggregate" not in plan[: plan.index("Generate")]
+    want = set()
+    for key, rows in ((1, 1), (2, 2)):
+        tag = "".join("ACGT"[int(c, 16) % 4] for c in hashlib.md5(str(key).encode()).hexdigest()[:12])
+        for size in (7, 8, 9):
+            w = [tag[i : i + size] for i in range(13 - size)]
+            want.add((key, size, rows * len(w), min(w)))
+    assert {(r["p_partkey"], r["size"], r["n"], r["least"]) for r in df.collect()} == want
