@@ -57,6 +57,13 @@ def masked_keys(seq: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.concat(F.substring(seq, F.lit(1), i - 1), F.lit("*"), F.substring(seq, i + 1, F.length(seq))))
 
 
+def parted_keys(seq: Column, hidden: int) -> Column:
+    """The sequence with each run of ``hidden`` bases hidden in turn: two of equal length that differ in one base
+    share one of them, and what shares one differs in that run alone."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)), F.lit(hidden)), lambda i: i <= F.length(seq))
+    return F.transform(starts, lambda i: F.concat(F.substring(seq, F.lit(1), i - 1), F.repeat(F.lit("*"), F.least(F.lit(hidden), F.length(seq) - i + 1)), F.substring(seq, i + hidden, F.length(seq))))
+
+
 def hamming_neighbours(tag: str, distance: int) -> Iterator[tuple[str, int]]:
     """(neighbour, distance) within a Hamming distance, the tag itself first."""
     yield tag, 0

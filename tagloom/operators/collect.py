@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tagloom.functions.dna import masked_keys
+from tagloom.functions.dna import parted_keys
 from tagloom.session import cut
 
 COMPOUND = ["library_id", "bb_ids"]
 #: A compound with at most so many UMIs is solved in one row; more go the set-based way.
 SMALL = 1024
+#: Bases of a UMI that its keys hide: at most 64 UMIs share a key.
+HIDDEN = 3
 
 
 def kept(decoded: DataFrame, score_threshold: float = 100.0) -> DataFrame:
@@ -67,13 +69,14 @@ def raw_and_dedup(umis: DataFrame) -> DataFrame:
 def hamming_edges(umis: DataFrame, directional: bool = False) -> DataFrame:
     """Pairs a < b of UMIs of one compound that differ in exactly one base.
 
-    An equi-join on (compound, masked UMI): at most one masked key is shared by two UMIs, so no pair
-    shows twice.  ``directional`` keeps a pair if one has at least 2 n + 1 reads of the other's n.
+    UMIs meet under (compound, UMI with a run of bases hidden): two that differ in one base share one such
+    key alone, so no pair shows twice, and a key has no more than all UMIs that fill the run.  Fewer keys
+    move than with each base hidden in turn.  ``directional`` keeps a pair if one has at least 2 n + 1
+    reads of the other's n.
     """
-    slim = umis.where(F.col("umi").isNotNull() & ~F.contains("umi", F.lit("N"))).select(*COMPOUND, "umi", "c", F.explode(masked_keys(F.col("umi"))).alias("mask"))
-    shared = F.collect_list(F.struct("umi", "c"))  # at most four bases fit into the hidden place
-    groups = slim.groupBy(*COMPOUND, "mask").agg(shared.alias("g")).where(F.size("g") > 1)
-    pair = groups.select(*COMPOUND, F.explode("g").alias("x"), "g").select(*COMPOUND, "x", F.explode("g").alias("y")).where("x.umi < y.umi")
+    slim = umis.where(F.col("umi").isNotNull() & ~F.contains("umi", F.lit("N"))).select(*COMPOUND, "umi", "c", F.explode(parted_keys(F.col("umi"), HIDDEN)).alias("mask"))
+    groups = slim.groupBy(*COMPOUND, "mask").agg(F.collect_list(F.struct("umi", "c")).alias("g")).where(F.size("g") > 1)
+    pair = groups.select(*COMPOUND, F.explode("g").alias("x"), "g").select(*COMPOUND, "x", F.explode("g").alias("y")).where("x.umi < y.umi AND levenshtein(x.umi, y.umi, 1) = 1")
     if directional:
         pair = pair.where("x.c >= 2 * y.c + 1 OR y.c >= 2 * x.c + 1")
     return pair.select(*COMPOUND, F.col("x.umi").alias("a"), F.col("y.umi").alias("b"))

@@ -163,3 +163,23 @@ def test_windows_of_a_part_are_not_sorted(spark, tmp_path):
             w = [tag[i : i + size] for i in range(13 - size)]
             want.add((key, size, rows * len(w), min(w)))
     assert {(r["p_partkey"], r["size"], r["n"], r["least"]) for r in df.collect()} == want
+
+
+def test_umi_edges_move_few_keys_of_few_umis(spark):
+    """Each pair once, for UMIs of any length; two keys for six bases, and 64 UMIs of four letters at most share one."""
+    from tagloom.functions.dna import parted_keys
+    from tagloom.operators import collect as K
+
+    rng = random.Random(4)
+    umis = sorted({"".join(rng.choices("ACGT", k=n)) for n in (1, 2, 3, 4, 6, 7) for _ in range(60)}) + ["ACNT", "", None]
+    rows = [("L", b, u, 1 + i % 4) for b in ("x", None) for i, u in enumerate(umis)]
+    df = spark.createDataFrame(rows, "library_id string, bb_ids string, umi string, c long")
+    keys = df.select("umi", F.size(parted_keys(F.col("umi"), K.HIDDEN)).alias("n")).where("umi <> ''").collect()
+    assert {(len(u), n) for u, n in keys} == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 2), (7, 3)}
+    for directional in (False, True):
+        found = sorted((r["bb_ids"] or "", r["a"], r["b"]) for r in K.hamming_edges(df, directional).collect())
+        plain = [(b or "", u, v) for _, b, u, c in rows for _, e, v, d in rows if b == e and u and v and "N" not in u + v and len(u) == len(v) and u < v
+                 and sum(x != y for x, y in zip(u, v)) == 1 and (not directional or max(c, d) >= 2 * min(c, d) + 1)]
+        assert found == sorted(plain)
+        counts = {r["bb_ids"]: r["count"] for r in K.corrected_in_rows(df, directional).collect()}
+        assert counts == {r["bb_ids"]: r["count"] for r in K.corrected_set_based(df, directional).collect()}
