@@ -84,7 +84,7 @@ def hamming_edges(umis: DataFrame, directional: bool = False) -> DataFrame:
 
 def n_components(umis: list[str], counts: list[int], directional: bool) -> int:
     """Connected components of one compound's UMI graph, by union-find over shared masked keys."""
-    root, met, n = list(range(len(umis))), defaultdict(list), len(umis)
+    root, met, shared, n = list(range(len(umis))), {}, defaultdict(list), len(umis)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -95,11 +95,20 @@ def n_components(umis: list[str], counts: list[int], directional: bool) -> int:
     for i, u in enumerate(umis):
         if "N" not in u:
             for p in range(len(u)):
-                met[p, u[:p], u[p + 1 :]].append(i)
-    for group in met.values():
-        for i, j in combinations(group, 2):
+                key = (p, u[:p], u[p + 1 :])
+                first = met.setdefault(key, i)
+                if first == i:
+                    continue
+                if not directional:  # all of a key are one component: the first stands for them
+                    a, b = find(first), find(i)
+                    root[b] = a
+                    n -= a != b
+                else:
+                    shared[key].append(i)
+    for key, others in shared.items():
+        for i, j in combinations([met[key], *others], 2):
             low, high = sorted((counts[i], counts[j]))
-            if not directional or high >= 2 * low + 1:
+            if high >= 2 * low + 1:
                 i, j = find(i), find(j)
                 root[j] = i
                 n -= i != j
@@ -114,7 +123,10 @@ def corrected_in_rows(umis: DataFrame, directional: bool) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [n_components([x["umi"] for x in row], [x["c"] for x in row], directional) for row in (r.as_py() for r in batch.column(2))]
+            column = batch.column(2)
+            at, flat = column.offsets.to_pylist(), column.values
+            names, counts = flat.field("umi").to_pylist(), flat.field("c").to_pylist()
+            made = [n_components(names[a:b], counts[a:b], directional) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:2], arrow)), pa.array(made, pa.int64())], schema=arrow)
 
     return umis.groupBy(*COMPOUND).agg(pairs.alias("u")).mapInArrow(solve, schema)
